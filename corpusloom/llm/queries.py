@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rans
+from . import licenses, lines, mixing, packing, pages, pivots, rans
 from .common import scratch, table
 
 
@@ -20,12 +21,44 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path, with_ids=False)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False)
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivots.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.dedup_lines(docs).select("doc_id", "text", "lines_before", "lines_removed")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_mixing": op2_mixing,
+    "op4_main_text": op4_main_text,
     "op6_packing": op6_packing,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_license_scan": op9_license_scan,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op8_exact_top_k": pivots.ORACLE,
+    "op9_license_scan": licenses.oracle(),
+    "op10_line_dedup": lines.oracle(),
 }
-ORACLES: dict[str, str] = {}
