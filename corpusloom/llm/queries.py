@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, packing, pages, pivots, rans
+from . import licenses, lines, mixing, packing, pages, pivots, rans, setjoin
 from .common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
+    "op3_shingle_join": op3_shingle_join,
     "op4_main_text": op4_main_text,
     "op6_packing": op6_packing,
     "op8_exact_top_k": op8_exact_top_k,
