@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, mixing, packing, pages, pivots, rans, setjoin
+from . import iblt, licenses, lines, mixing, packing, pages, pivots, rans, setjoin
 from .common import scratch, table
 
 
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return pivots.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_shingle_join": op3_shingle_join,
     "op4_main_text": op4_main_text,
     "op6_packing": op6_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
