@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, licenses, lines, mixing, packing, pages, pivots, rans, setjoin
+from . import iblt, licenses, lines, mixing, ordinal, packing, pages, pivots, rans, setjoin
 from .common import scratch, table
 
 
@@ -34,6 +34,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_shingle_join": op3_shingle_join,
     "op4_main_text": op4_main_text,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_exact_top_k": op8_exact_top_k,
