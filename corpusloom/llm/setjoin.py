@@ -39,11 +39,11 @@ COUNTED = 0.25
 #: A shingle that often is frequent; the most frequent ones, up to so many, are known to all tasks.
 FREQUENT, MOST_FREQUENT = 16, 1 << 18
 #: Bytes of text that are hashed together, and shingles that a task counts together.
-CHUNK_BYTES, COUNT_TOGETHER = 2_000_000, 4_000_000
+CHUNK_BYTES, COUNT_TOGETHER = 500_000, 1_000_000
 #: Longer lists are dealt out in blocks of about this size, a task for each pair of blocks.
 LIST_BLOCK = 4096
 #: Comparisons with one set that one task makes; tables of up to so many rows are sent to all tasks.
-MEMBERS, BROADCAST_ROWS = 2000, 1_000_000
+MEMBERS, BROADCAST_ROWS = 2000, 400_000
 
 _POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA5A5A5A5B5297A4D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], np.uint64)
@@ -136,12 +136,13 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(_signed(seen[use])), pa.array(n[use], pa.int64())], ["shingle", "n"])
 
         for batch in batches:
-            for own in shingle_sets(batch.column(0).to_pylist()):
-                kept.append(own)
-                size += len(own)
-                if size >= COUNT_TOGETHER:
-                    yield counted()
-                    kept, size = [], 0
+            for at in range(0, batch.num_rows, 128):
+                for own in shingle_sets(batch.column(0).slice(at, 128).to_pylist()):
+                    kept.append(own)
+                    size += len(own)
+                    if size >= COUNT_TOGETHER:
+                        yield counted()
+                        kept, size = [], 0
         yield counted()
 
     counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -168,8 +169,8 @@ def prefixed_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 n, s1, s2, prefixes = [], [], [], []
                 for own in shingle_sets(part.column(1).to_pylist()):
                     size = len(own)
@@ -281,8 +282,8 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 out: list[list] = [[], [], [], [], []]
                 for name, own, work in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), part.column(2).to_pylist()):
                     raw = own.tobytes()
@@ -295,7 +296,8 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         key, first = None, []
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for a, part, role, name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            # one row at a time: the sets of a batch are not held twice
+            for a, part, role, name, raw in ([c[i].as_py() for c in batch.columns] for i in range(batch.num_rows)):
                 own = np.frombuffer(raw, np.uint64)
                 if (a, part) != key:
                     key, first = (a, part), []
