@@ -27,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of the smallest id in each group of similar ones; rows without an id stay."""
     joined = setjoin.join(docs)
     kept = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    found = docs.join(kept, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return found.where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    found = docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("row"), "doc_id", "text").withColumn("nth", first)
+    return found.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from .common import ascii_lower
 K = 3
 #: Diagonals of one template that are at most so far apart are one span.
 NEAR = 2
-#: Share of a template's hashes that a span must cover.
-COVER = 0.6
+#: Share of a template's hashes that a span must cover; more of short templates, which differ in a word or two.
+COVER, COVER_SHORT, SHORT = 0.6, 0.8, 12
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Fixed values: (label, words). The first three are the base phrases.
@@ -88,7 +88,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
             F.collect_list(F.when(F.col("is_base") & (F.col("votes") == F.col("grams")), F.col("diagonal"))).alias("exact"),
         )
         .withColumn("cover", F.col("covered") / F.col("grams"))
-        .withColumn("stands", (F.col("cover") >= COVER) & ((F.size("exact") > 0) | (~F.col("is_base") & (F.col("end") - F.col("start") < 2 * (F.col("grams") + K)))))
+        .withColumn("stands", (F.col("cover") >= F.when(F.col("grams") <= SHORT, COVER_SHORT).otherwise(COVER)) & ((F.size("exact") > 0) | (~F.col("is_base") & (F.col("end") - F.col("start") < 2 * (F.col("grams") + K)))))
     )
     found = spans.groupBy(*key).agg(
         F.sum(F.size("exact")).alias("n_base"),
@@ -127,7 +127,7 @@ fresh as (select *, case when diagonal - lag(diagonal) over (partition by doc_id
 span as (select *, sum(f) over (partition by doc_id, template order by diagonal rows unbounded preceding) as span from fresh),
 merged as (select doc_id, template, label, is_base, grams, span, len(list_distinct(flatten(list(covered)))) / grams as cover, min(lo) as lo, max(hi) as hi,
   count(*) filter (is_base and votes = grams) as n_exact, min(diagonal) filter (is_base and votes = grams) as first_exact, max(diagonal) filter (is_base and votes = grams) as last_exact from span group by doc_id, template, label, is_base, grams, span),
-stand as (select *, cover >= {COVER} and (n_exact > 0 or (not is_base and hi - lo < 2 * (grams + {K}))) as stands from merged),
+stand as (select *, cover >= case when grams <= {SHORT} then {COVER_SHORT} else {COVER} end and (n_exact > 0 or (not is_base and hi - lo < 2 * (grams + {K}))) as stands from merged),
 found as (select doc_id, sum(n_exact)::bigint as n_base, min(first_exact) as first_word, max(last_exact) as last_word,
   string_agg(distinct label, ',' order by label) filter (n_exact > 0) as base_labels, string_agg(distinct label, ',' order by label) filter (stands) as labels, max(cover) filter (stands) as score from stand group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word::bigint as first_word, last_word::bigint as last_word,

@@ -7,7 +7,7 @@ removed. Where a later occurrence overlaps the first one in the same document, t
 Defined results: null ids come last in the order of occurrences; null texts stay null; texts with fewer
 lines than a window are kept as they are; rows that repeat with id and text are one
 occurrence and treated alike; rows with one id and other texts are documents of their own; all columns of
-``docs`` are returned.
+``docs`` are returned, but for those that have the names of the new ones.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ JOINT = "\n"
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the text changed, and the columns lines_before and lines_removed."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("lines_before", "lines_removed")]
     # a document is its id and its text; equal rows are told apart by their order within that
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("line")).where(F.size("line") >= window)
     starts = F.sequence(F.lit(0), F.size("line") - window)
@@ -45,12 +45,14 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covered = runs.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.collect_list(F.struct("low", "high")).alias("_gone"), F.sum(F.col("high") - F.col("low") + 1).alias("_removed")
     )
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = keyed.join(covered, keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    line = F.split("text", "\n")
+    # the row travels whole, so that its columns may have any names
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("row_hash"))
+    joined = keyed.join(covered, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
+    text = F.col("row.text")
+    line = F.split(text, "\n")
     left = F.array_join(F.filter(line, lambda x, i: ~F.exists("_gone", lambda run: (run["low"] <= i) & (i <= run["high"]))), "\n")
     return joined.select(
-        *[(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left) if c == "text" else docs[c]).alias(c) for c in names],
+        *[(F.when(F.col("_gone").isNull(), text).otherwise(left) if c == "text" else F.col("row")[c]).alias(c) for c in names],
         F.coalesce(F.size(line), F.lit(0)).cast("long").alias("lines_before"),
         F.coalesce("_removed", F.lit(0)).cast("long").alias("lines_removed"),
     )

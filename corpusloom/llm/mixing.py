@@ -99,7 +99,7 @@ def mix(docs: DataFrame) -> DataFrame:
         "c",
         start,
         lambda acc, c: F.when(
-            F.abs(left(acc) - c["size"]) < F.abs(left(acc)),
+            c["size"] <= left(acc) + 0.5,
             F.struct((left(acc) - c["size"]).alias("left"), F.concat(acc["took"], F.array(F.struct(c["doc_id"].cast("long").alias("doc_id"), c["nth"].cast("int").alias("nth")))).alias("took")),
         ).otherwise(acc),
     )
@@ -111,9 +111,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def copied(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
-    names = docs.columns
-    same_id = Window.partitionBy("doc_id").orderBy("_size", "source")
-    numbered = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_nth", F.row_number().over(same_id))
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("nth").alias("_n"), F.col("copies").alias("_copies"))
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")))
-    return joined.select(*[docs[c] for c in names], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    # the row travels whole, so that its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source")))
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("nth").alias("_n"), "copies")
+    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_n")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

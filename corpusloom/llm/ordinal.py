@@ -151,4 +151,5 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
     model = fit(docs, labels)
-    return docs.withColumn("_s", severity(model, F.col("text"))).where(F.col("_s.p_toxic") < REJECT).drop("_s")
+    # the row travels whole, so that its columns may have any names
+    return docs.select(F.struct("*").alias("row"), severity(model, F.col("text")).alias("s")).where(F.col("s.p_toxic") < REJECT).select("row.*")
