@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = setjoin.join(docs)
     kept = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    found = docs.join(kept, "doc_id", "left_semi").select(F.struct("*").alias("row"), "doc_id", "text").withColumn("nth", first)
+    found = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(kept, "doc_id", "left_semi").withColumn("nth", first)
     return found.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
