@@ -27,11 +27,11 @@ from .common import shuffle_partitions, stored
 from .tokens import chunk_ids
 
 SCALE_BITS = 20
-LANES = 64
+LANES = 128
 #: Steps of all lanes between two checkpoints.
 CHECKPOINT = 256
 #: A block takes whole documents until it has so many tokens.
-BLOCK_TOKENS = 65_536
+BLOCK_TOKENS = 131_072
 #: Blocks that one call encodes or decodes together.
 TOGETHER = 8
 LOWEST = np.uint64(1 << 31)
