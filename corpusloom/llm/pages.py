@@ -3,8 +3,10 @@
 Two passes parse every page to a tree. The first hashes element subtrees and counts, per host, on how many
 pages with different main parts each occurs; a subtree that recurs on many pages of its host is template.
 The second deletes template subtrees, with the parts that HTML itself marks as no content (menus, headers,
-footers, asides, forms, scripts, notices, adverts, comments), and joins the blocks that are left. Where
-the page marks its article or main part, only that is read, and running prose in it is never template.
+footers, asides, forms, scripts, notices, adverts, comments), and joins the blocks that are left. Headings,
+paragraphs and list items count like any other subtree, in an article too; parts of a sentence and cells of
+an article's table only go with the block that holds them. Where the page marks its article or main part,
+what is left of that is the text.
 
 Defined results: null or empty html gives ''; a null url is a host of its own; repeated rows are each
 returned; pages of any length are read whole. Extra columns are not read.
@@ -32,7 +34,9 @@ BROADCAST_HASHES = 500_000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-PROSE = {"a", "abbr", "b", "blockquote", "br", "cite", "code", "dd", "dl", "dt", "em", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "i", "img", "li", "mark", "p", "pre", "q", "s", "small", "span", "strong", "sub", "sup", "td", "th", "tr", "tbody", "thead", "u"}
+#: Parts of a line or of a row: not a block of their own.
+PARTS = {"a", "abbr", "b", "cite", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "td", "th", "u"}
+WHOLE_PAGE = {"#root", "html", "body", "head", "article", "main"}
 #: Opening the key ends an open element of the values, up to the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "select", "table", "ul"}
@@ -48,10 +52,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "hash")
+    __slots__ = ("tag", "attrs", "parts", "parent", "hash", "marked")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.attrs, self.parts, self.parent, self.hash = tag, attrs, [], parent, b""
+        self.marked = parent is not None and (parent.marked or parent.tag in ("article", "main"))
 
 
 def parse(source: str) -> Node:
@@ -169,19 +174,20 @@ def hashed(nodes: list[Node]) -> None:
         node.hash = h.digest()
 
 
+def removable(node: Node) -> bool:
+    """May be template by itself."""
+    if node.tag in WHOLE_PAGE or node.tag in VOID or node.tag in RAW:
+        return False
+    return node.tag not in PARTS or not node.marked and not any(isinstance(x, str) and x.strip() for x in node.parent.parts)
+
+
 def candidates(source: str) -> tuple[int, set[int]]:
     """The hash of the page's main part, and those of the subtrees that may be template."""
     nodes = _nodes(parse(source))
     hashed(nodes)
     roots = content_roots(nodes)
-    marked = roots[0].tag != "#root"
     main = hashlib.blake2b(b"".join(r.hash for r in roots), digest_size=8).digest()
-    out = set()
-    for n in nodes:
-        if n.tag in ("#root", "html", "body", "head", "article", "main") or n.tag in VOID or n.tag in RAW:
-            continue
-        if not (marked and n.tag in PROSE and _inside(n, ("article", "main"))):
-            out.add(int.from_bytes(n.hash, "big", signed=True))
+    out = {int.from_bytes(n.hash, "big", signed=True) for n in nodes if removable(n)}
     return int.from_bytes(main, "big", signed=True), out
 
 
@@ -213,7 +219,9 @@ def extract(source: str, template: set[int]) -> str:
                     if x.tag in BLOCK:
                         end()
                     continue
-                if template and x is not root and not (marked and x.tag in PROSE) and int.from_bytes(x.hash, "big", signed=True) in template and x.tag not in ("html", "body", "article", "main"):
+                if template and int.from_bytes(x.hash, "big", signed=True) in template and removable(x):
+                    if x.tag in BLOCK:
+                        end()
                     continue
                 if x.tag == "br":
                     now.append(" ")

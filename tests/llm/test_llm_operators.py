@@ -259,6 +259,12 @@ def test_site_template_goes(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def test_site_template_goes_from_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Read our newsletter</p><p>story {0} is <b>not</b> over</p><h2>Get in touch</h2><ul><li>own {0}</li><li>Subscribe here</li></ul><table><tr><td>yes</td><td>{0}</td></tr></table></article></body>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.main_text(df).collect()} == {i: f"Title {i}\nstory {i} is not over\nown {i}\nyes\n{i}" for i in range(12)}
+
+
 # 5: toxicity
 
 
