@@ -43,6 +43,11 @@ CONTAINERS = {"article", "aside", "body", "div", "dl", "footer", "form", "header
 ENDS_P = BLOCK - {"body", "caption", "html", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 NO_CONTENT = {"aside", "audio", "button", "canvas", "dialog", "footer", "form", "head", "input", "menu", "nav", "object", "select", "svg", "template", "video"} | RAW
 NO_CONTENT_NAMES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "login", "modal", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promotion", "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe"}
+#: Words that may stand beside those names in a class or id ("share-buttons", "left-sidebar", "related-posts"); with
+#: any other word ("no-sidebar", "social-impact", "related-work") it is no such name.
+BESIDE_NAMES = {"area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "entry", "form", "icons", "inner", "left", "links", "list", "main", "message", "outer", "overlay", "page", "popup", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "top", "unit", "widget", "widgets", "wrap", "wrapper"}
+#: Only these are dropped by name; headings, paragraphs and parts of lines never are.
+NAMED = {"article", "aside", "details", "div", "dl", "figure", "footer", "header", "ol", "section", "table", "ul"}
 NO_CONTENT_WHOLE = {"footer", "header", "menu", "nav", "toolbar"}
 NO_CONTENT_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
 
@@ -108,6 +113,19 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def names(node: Node) -> set[str]:
+    """The words of its classes and id that name something besides the content."""
+    found: set[str] = set()
+    if node.attrs and node.tag in NAMED:
+        for name, *values in ATTRIBUTE.findall(node.attrs):
+            if name.lower() in ("class", "id"):
+                for x in max(values, key=len).lower().split():
+                    words = {w for w in re.split(r"[^a-z0-9]+", x) if w}
+                    if x in NO_CONTENT_WHOLE or words <= NO_CONTENT_NAMES | BESIDE_NAMES and not ("content" in words and "sidebar" in words):
+                        found |= {x} if x in NO_CONTENT_WHOLE else words & NO_CONTENT_NAMES
+    return found
+
+
 def no_content(node: Node, in_article: bool) -> bool:
     if node.tag in NO_CONTENT or node.tag == "header" and not in_article:
         return True
@@ -115,15 +133,11 @@ def no_content(node: Node, in_article: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), max(values, key=len)
-        if name in ("class", "id"):
-            for x in value.lower().split():
-                if x in NO_CONTENT_WHOLE or not NO_CONTENT_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", x)):
-                    return True
-        elif name == "role" and value.lower() in NO_CONTENT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value.lower() in NO_CONTENT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return False
+    return bool(names(node))
 
 
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
@@ -135,21 +149,23 @@ def _inside(node: Node, tags: tuple[str, ...]) -> bool:
 
 
 def content_roots(nodes: list[Node]) -> list[Node]:
-    """The outermost articles; else the main elements; else the whole page. Comments' articles don't count."""
-    for tag in ("article", "main"):
-        found = [n for n in nodes if n.tag == tag and not no_content(n, True) and not _inside(n.parent, (tag,))]
-        found = [n for n in found if not _dropped_above(n)]
-        if found:
-            order = {id(n): i for i, n in enumerate(_in_order(nodes[0]))}
-            return sorted(found, key=lambda n: order[id(n)])
+    """The outermost articles; else the main elements; else those in a part with the name of a layout; else the
+    whole page. Comments' and related articles don't count."""
+    for beside in ({"comment", "comments", "related", "sidebar"}, {"comment", "comments", "related"}):
+        for tag in ("article", "main"):
+            found = [n for n in nodes if n.tag == tag and not no_content(n, True) and not _inside(n.parent, (tag,))]
+            found = [n for n in found if not _dropped_above(n, beside)]
+            if found:
+                order = {id(n): i for i, n in enumerate(_in_order(nodes[0]))}
+                return sorted(found, key=lambda n: order[id(n)])
     return nodes[:1]
 
 
-def _dropped_above(node: Node) -> bool:
-    """Under an element that marks itself as comments, adverts or the like; layout names alone don't count."""
+def _dropped_above(node: Node, beside: set[str]) -> bool:
+    """Under an element that marks itself as one of ``beside``; other names don't count."""
     up = node.parent
     while up is not None:
-        if up.tag in ("aside", "footer", "nav", "template") or re.search(r"""(class|id)\s*=\s*["']?[^"'>]*\b(comments?|related|sidebar)\b""", up.attrs, re.I) and up.tag not in ("html", "body", "main"):
+        if up.tag in ("aside", "footer", "nav", "template") or not beside.isdisjoint(names(up)):
             return True
         up = up.parent
     return False

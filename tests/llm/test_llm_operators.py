@@ -246,6 +246,16 @@ def test_article():
     assert pages.extract("<div><p>" * 5000 + "deep", set()) == "deep"
 
 
+def test_names_drop_containers_only():
+    body = '<h2 id="social-impact">Impact</h2><section id="related-work"><p class="notice">work</p></section><div class="ad">buy</div><div class="share-buttons">tweet</div>'
+    want = "Impact\nwork"
+    assert pages.extract(f"<article>{body}</article>", set()) == want
+    for outer in ("no-sidebar", "content no-sidebar", "with-comments", "left-sidebar"):
+        assert pages.extract(f'<div class="{outer}"><article>{body}</article></div>', set()) == want
+    assert pages.extract(f'<div class="content has-sidebar">{body}</div><div class="left-sidebar">x</div>', set()) == want
+    assert pages.extract('<article>a</article><div class="sidebar"><article>b</article></div><div class="related-posts"><article>c</article></div>', set()) == "a"
+
+
 def test_site_template_goes(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div><p>site line</p><div>menu of the site</div></div><div><p>story {i}</p><p>more {i}</p></div></body>") for i in range(12)]
     rows += [(100 + i, "http://few.org/", f"<body><p>site line</p><p>tale {i}</p></body>") for i in range(2)] + [(200, None, None), (201, None, "<p>x"), (201, None, "<p>x")]
