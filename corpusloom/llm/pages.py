@@ -1,7 +1,8 @@
 """Main text of web pages by site template removal.
 
 Two passes parse every page to a tree. The first hashes element subtrees and counts, per host, on how many
-pages with different main parts each occurs; a subtree that recurs on many pages of its host is template.
+pages with different main parts each occurs, also by section (the first folder of the path); a subtree that
+recurs on many pages of its host or section is template.
 The second deletes template subtrees, with the parts that HTML itself marks as no content (menus, headers,
 footers, asides, forms, scripts, notices, adverts, comments), and joins the blocks that are left. Headings,
 paragraphs and list items count like any other subtree, in an article too; parts of a sentence and cells of
@@ -25,8 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: A subtree is template if it is on so many pages of its host, and on such a share of them.
+#: A subtree is template if it is on so many different pages of its host and such a share of them,
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: or on so many and a far smaller share, for chance repeats of short lines grow with the host,
+MANY_PAGES, SMALL_SHARE = 50, 0.01
+#: or, in a section (the first folder of the path), on so many of it and LEAST_SHARE.
+SECTION_PAGES = 10
 #: Hosts' template tables up to so many hashes are sent to all tasks; larger ones are joined by shuffle.
 BROADCAST_HASHES = 500_000
 
@@ -253,40 +258,55 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def section(url: Column) -> Column:
+    """The first folder of the path, with a slash before it, or just the slash."""
+    return F.concat(F.lit("/"), F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit("")))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hashes: the subtrees that recur on many different pages of the host. A page has at most
-    1 / LEAST_SHARE times its own subtrees' number of them, so the arrays are bounded."""
+    """host, section, hashes: the subtrees that recur on many different pages of the host (section '') or of the
+    section. A page has at most 1 / SMALL_SHARE times its own subtrees' number of them, so the arrays are bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, mains, hashes = [], [], []
-            for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            names, parts, mains, hashes = [], [], [], []
+            for name, part, source in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 main, own = candidates(source or "")
                 for h in (0, *own):  # 0 counts the pages themselves
                     names.append(name)
+                    parts.append(part)
                     mains.append(main)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes, pa.int64()), pa.array(mains, pa.int64())], ["host", "hash", "main"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string()), pa.array(hashes, pa.int64()), pa.array(mains, pa.int64())], ["host", "section", "hash", "main"])
 
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, main long")
-    counts = seen.groupBy("host", "hash", "main").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    counts = stored(counts, "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    seen = pages.select(host(F.col("url")).alias("host"), section(F.col("url")).alias("section"), "html").mapInArrow(run, "host string, section string, hash long, main long")
+    # a main part in several sections counts once, in the first
+    once = seen.groupBy("host", "hash", "main").agg(F.min("section").alias("section"))
+    each = once.select("host", "hash", F.explode(F.array(F.lit(""), F.col("section"))).alias("section"))
+    counts = stored(each.groupBy("host", "section", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES), "subtrees")
+    total = counts.where("hash = 0").select("host", "section", F.col("n").alias("pages"))
+    n, share = F.col("n"), F.col("n") / F.col("pages")
+    in_section = (n >= SECTION_PAGES) & (share >= LEAST_SHARE)
+    on_host = (share >= LEAST_SHARE) | ((n >= MANY_PAGES) & (share >= SMALL_SHARE))
+    kept = counts.where("hash <> 0").join(total, ["host", "section"]).where(F.when(F.col("section") == "", on_host).otherwise(in_section))
+    return kept.groupBy("host", "section").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
     found = stored(templates(pages), "templates")
     size = found.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0))).first()[0]
-    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = keyed.join(F.broadcast(found) if size <= BROADCAST_HASHES else found, "host", "left").select("page_id", "url", "html", "hashes")
+    sent = F.broadcast if size <= BROADCAST_HASHES else lambda df: df
+    keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), section(F.col("url")).alias("section"))
+    joined = keyed.join(sent(found.where("section = ''").select("host", "hashes")), "host", "left")
+    joined = joined.join(sent(found.where("section <> ''").withColumnRenamed("hashes", "more")), ["host", "section"], "left")
+    joined = joined.select("page_id", "url", "html", "hashes", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text = [extract(h or "", set(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                text = [extract(h or "", {*(t or ()), *(m or ())}) for h, t, m in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]

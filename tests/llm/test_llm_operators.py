@@ -275,6 +275,13 @@ def test_site_template_goes_from_articles(spark):
     assert {r.page_id: r.text for r in pages.main_text(df).collect()} == {i: f"Title {i}\nstory {i} is not over\nown {i}\nyes\n{i}" for i in range(12)}
 
 
+def test_boxes_of_a_part_of_a_large_host_go(spark):
+    box = lambda i: "<p>box of news</p>" if i % 10 == 0 else "<p>seldom</p>" if i < 6 else "<p>often</p>" if i % 8 == 1 else ""
+    rows = [(i, f"http://h.org/{'news' if i % 10 == 0 else 'other'}/{i}", f"<article><p>story {i}</p>{box(i)}</article>") for i in range(500)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i}" + ("\nseldom" if 0 < i < 6 else "") for i in got)
+
+
 # 5: toxicity
 
 
