@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 ``P(grade > k) = sigmoid(w . x - threshold_k)``: one weight per word for all thresholds, which rise. The
-features are log(1 + count) of the words that occur significantly more often in documents labelled toxic,
-on a scale with the most significant one, so that words of a few copied texts don't count as such.
+features are log(1 + count) of the words that occur significantly more often in documents labelled toxic.
+For that, a word counts in a text that is the only one, or taken as the only one, to have it after some words
+and before some words, so that near copies of a labelled text count once.
 Grades of labelled documents: 0 is clean; toxic ones have grade 1, 2 or 3 by the third of the toxic
 documents that their number of such words falls in (1 without any). The model is fitted on at most
 ``max_rows`` distinct labelled texts, by smallest hash of the id; every document is then scored whole.
@@ -30,8 +31,8 @@ GRADES = 4
 MAX_ROWS, MAX_FEATURES = 20_000, 2_000
 #: Least likelihood ratio (G squared) of a feature word.
 LEAST_G2 = 16.0
-#: And at least such a share of the largest one.
-LEAST_SHARE = 0.2
+#: So many words before it, and so many after it, make a word's places.
+BESIDE = 5
 REJECT = 0.5
 TERM = r"\p{L}+"
 _term = re.compile(r"[^\W\d_]+")
@@ -52,7 +53,21 @@ class Model:
         return 1 / (1 + np.exp(np.array(self.thresholds) - score))
 
 
-def _negative(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+class Sparse:
+    """A matrix of few values, for products with vectors."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    @property
+    def T(self) -> "Sparse":
+        return Sparse(self.column, self.row, self.value, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+
+
+def _negative(theta: np.ndarray, x: np.ndarray | Sparse, y: np.ndarray, n: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
     """Penalised negative log likelihood and its gradient; theta: first threshold, log steps, weights."""
     k = GRADES - 1
     cuts = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:k]))])
@@ -75,7 +90,7 @@ def _negative(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, ri
     return float(-(n * np.log(p)).sum() + ridge * (w @ w) / 2), g
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 1500, ridge: float = 0.02) -> np.ndarray:
+def fit_rows(x: np.ndarray | Sparse, y: np.ndarray, n: np.ndarray, steps: int = 1500, ridge: float = 0.02) -> np.ndarray:
     """Maximum penalised likelihood by full-batch gradient steps with momentum (Adam); n: weights of rows."""
     theta = np.zeros(GRADES - 1 + x.shape[1])
     theta[0] = 2.0
@@ -96,34 +111,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     # copies of a text count once
     texts = stored(rows.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text_hash", "toxic", terms.alias("terms")), "labelled")
-    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    n, bad = totals["n"], totals["bad"]
+    # a place that several texts have is that of one of them, a toxic one if there is one
+    size = F.size("terms")
+    starts = (lambda i: F.greatest(i + 1 - BESIDE, F.lit(1)), lambda i: F.greatest(F.least(i + 1, size - BESIDE), F.lit(1)))
+    place_of = lambda w, i, side: F.struct(w.alias("w"), F.lit(side).alias("side"), F.xxhash64(F.slice("terms", starts[side](i), BESIDE + 1)).alias("place"))
+    both = F.flatten(F.transform("terms", lambda w, i: F.array(place_of(w, i, 0), place_of(w, i, 1))))
+    places = texts.select("text_hash", "toxic", F.explode(both).alias("at")).select("text_hash", "toxic", "at.*")
+    owned = places.groupBy("w", "side", "place").agg(F.min(F.struct((-F.col("toxic")).alias("clean"), "text_hash")).alias("text"))
+    own = owned.groupBy("w", "text.text_hash").agg((-F.min("text.clean")).alias("toxic"), F.min("side").alias("low"), F.max("side").alias("high"))
+    own = stored(own.where("low < high").select("w", "text_hash", "toxic"), "words")
+    totals = own.groupBy("text_hash").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    without = texts.where(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    n, bad = totals["n"] + without["n"], totals["bad"] + without["bad"]
     if not bad or bad == n:
         return Model({}, [50.0] * (GRADES - 1))
-    words = texts.select("toxic", F.explode(F.array_distinct("terms")).alias("w")).groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("t")).where("a > 1")
+    words = own.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("t")).where("a > 1")
     a, t = F.col("a").cast("double"), F.col("t").cast("double")
     log0 = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     g2 = 2 * (log0(a, t * (bad / n)) + log0(t - a, t * (1 - bad / n)) + log0(bad - a, (n - t) * (bad / n)) + log0((n - t) - (bad - a), (n - t) * (1 - bad / n)))
     chosen = words.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / t > bad / n)).orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect()
-    vocabulary = [r["w"] for r in chosen if r["g2"] >= LEAST_SHARE * chosen[0]["g2"]]
+    vocabulary = [r["w"] for r in chosen]
     if not vocabulary:
         return Model({}, [50.0] * (GRADES - 1))
     place = {w: i for i, w in enumerate(vocabulary)}
     # only the feature words of at most max_rows texts come to the driver, and one count of the rows without any
-    listed = F.array(*[F.lit(w) for w in vocabulary])
-    found = texts.select("toxic", F.filter("terms", lambda w: F.array_contains(listed, w)).alias("terms"))
-    held = found.where(F.size("terms") > 0).toPandas()
-    empty = {r["toxic"]: r["n"] for r in found.where(F.size("terms") == 0).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    x = np.zeros((len(held) + 2, len(vocabulary)))
-    for i, terms_of in enumerate(held["terms"]):
-        for w in terms_of:
-            x[i, place[w]] += 1
-    number = x[: len(held)].sum(1)
+    listed = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
+    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).join(F.broadcast(listed), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
+    cells = found.toPandas().sort_values(["text_hash", "w"])
+    held = cells.drop_duplicates("text_hash")
+    all_of = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    empty = {k: v - int((held["toxic"] == k).sum()) for k, v in all_of.items()}
+    row = np.searchsorted(held["text_hash"].to_numpy(), cells["text_hash"].to_numpy())
+    counts = cells["n"].to_numpy(float)
+    number = np.bincount(row, counts, len(held))
+    x = Sparse(row, cells["w"].map(place).to_numpy(int), np.log1p(counts), (len(held) + 2, len(vocabulary)))
     toxic = held["toxic"].to_numpy()
     cuts = np.quantile(number[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else [1, 1]
     y = np.concatenate([np.where(toxic == 1, 1 + (number > cuts[0]).astype(int) + (number > cuts[1]).astype(int), 0), [0, 1]]).astype(int)
     weight = np.concatenate([np.ones(len(held)), [empty.get(0, 0), empty.get(1, 0)]]).astype(float)
-    theta = fit_rows(np.log1p(x), y, weight)
+    theta = fit_rows(x, y, weight)
     k = GRADES - 1
     cut = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:k]))])
     return Model(dict(zip(vocabulary, theta[k:].tolist())), cut.tolist())

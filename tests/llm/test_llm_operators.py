@@ -333,6 +333,18 @@ def test_toxicity_cases(spark):
     assert ordinal.scored(frame(spark, []), known).count() == 0
 
 
+def test_seldom_toxic_words_count_and_near_copies_do_not(spark):
+    rows, labels = toxic_rows(600, 4)
+    rng = random.Random(6)
+    for i in range(12):
+        noise = [f"x{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}" for _ in range(30)]
+        rows.append((1000 + i, " ".join(noise[:15] + ["vermin"] + noise[15:]), "s"))
+        rows.append((2000 + i, " ".join(f"copied{'abcdefghijklmnopqrst'[k]}" for k in range(20)) + " end" + "abcdefghijkl"[i], "s"))
+        labels += [(1000 + i, 1), (2000 + i, 1)]
+    model = ordinal.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(model.weights) == {"vile", "nasty", "awful", "vermin"} and model.above("some vermin here")[0] >= ordinal.REJECT
+
+
 # the pipeline
 
 
