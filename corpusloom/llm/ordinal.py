@@ -111,16 +111,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     # copies of a text count once
     texts = stored(rows.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text_hash", "toxic", terms.alias("terms")), "labelled")
-    # a place that several texts have is that of one of them, a toxic one if there is one
-    size = F.size("terms")
-    starts = (lambda i: F.greatest(i + 1 - BESIDE, F.lit(1)), lambda i: F.greatest(F.least(i + 1, size - BESIDE), F.lit(1)))
-    place_of = lambda w, i, side: F.struct(w.alias("w"), F.lit(side).alias("side"), F.xxhash64(F.slice("terms", starts[side](i), BESIDE + 1)).alias("place"))
-    both = F.flatten(F.transform("terms", lambda w, i: F.array(place_of(w, i, 0), place_of(w, i, 1))))
-    places = texts.select("text_hash", "toxic", F.explode(both).alias("at")).select("text_hash", "toxic", "at.*")
-    owned = places.groupBy("w", "side", "place").agg(F.min(F.struct((-F.col("toxic")).alias("clean"), "text_hash")).alias("text"))
-    own = owned.groupBy("w", "text.text_hash").agg((-F.min("text.clean")).alias("toxic"), F.min("side").alias("low"), F.max("side").alias("high"))
-    own = stored(own.where("low < high").select("w", "text_hash", "toxic"), "words")
-    totals = own.groupBy("text_hash").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    # A run of BESIDE + 1 words is the place after words of its last one, and before words of its first one; the
+    # runs at the ends of a text are also that of their other words. A run that several texts have is that of one
+    # of them, a toxic one if there is one: toxic texts have negative numbers.
+    number = F.shiftrightunsigned("text_hash", 1).bitwiseOR(F.when(F.col("toxic") > 0, F.lit(-(2**63))).otherwise(F.lit(0)))
+    last = F.greatest(F.size("terms") - BESIDE, F.lit(1))
+    run = lambda i: F.slice("terms", i, BESIDE + 1)
+    place_of = lambda i: F.struct(
+        F.xxhash64(run(i)).alias("place"),
+        F.when(i == 1, F.array_join(run(i), " ")).otherwise(F.element_at(run(i), -1)).alias("after"),
+        F.when(i == last, F.array_join(run(i), " ")).otherwise(F.element_at(run(i), 1)).alias("before"),
+    )
+    runs = texts.where(F.size("terms") > 0).select(number.alias("number"), F.explode(F.transform(F.sequence(F.lit(1), last), place_of)).alias("at")).select("number", "at.*")
+    owned = runs.groupBy("place", "after", "before").agg(F.min("number").alias("number"))
+    sided = lambda name, side: F.transform(F.split(name, " "), lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
+    sides = owned.select("number", F.explode(F.concat(sided("after", 0), sided("before", 1))).alias("s")).select("number", "s.*")
+    own = sides.groupBy("w", "number").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
+    own = stored(own.select("w", "number", (F.col("number") < 0).cast("int").alias("toxic")), "words")
+    totals = own.groupBy("number").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     without = texts.where(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     n, bad = totals["n"] + without["n"], totals["bad"] + without["bad"]
     if not bad or bad == n:
