@@ -2,8 +2,8 @@
 
 ``P(grade > k) = sigmoid(w . x - threshold_k)``: one weight per word for all thresholds, which rise. The
 features are log(1 + count) of the words that occur significantly more often in documents labelled toxic.
-For that, a word counts in a text that is the only one, or taken as the only one, to have it after some words
-and before some words, so that near copies of a labelled text count once.
+They have to be significant over all texts, and also where a word counts only in a text that is the only one, or
+taken as the only one, to have it after some words and before some words: near copies of a text count once.
 Grades of labelled documents: 0 is clean; toxic ones have grade 1, 2 or 3 by the third of the toxic
 documents that their number of such words falls in (1 without any). The model is fitted on at most
 ``max_rows`` distinct labelled texts, by smallest hash of the id; every document is then scored whole.
@@ -111,40 +111,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     # copies of a text count once
     texts = stored(rows.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text_hash", "toxic", terms.alias("terms")), "labelled")
-    # A run of BESIDE + 1 words is the place after words of its last one, and before words of its first one; the
-    # runs at the ends of a text are also that of their other words. A run that several texts have is that of one
-    # of them, a toxic one if there is one: toxic texts have negative numbers.
-    number = F.shiftrightunsigned("text_hash", 1).bitwiseOR(F.when(F.col("toxic") > 0, F.lit(-(2**63))).otherwise(F.lit(0)))
-    last = F.greatest(F.size("terms") - BESIDE, F.lit(1))
-    run = lambda i: F.slice("terms", i, BESIDE + 1)
-    place_of = lambda i: F.struct(
-        F.xxhash64(run(i)).alias("place"),
-        F.when(i == 1, F.array_join(run(i), " ")).otherwise(F.element_at(run(i), -1)).alias("after"),
-        F.when(i == last, F.array_join(run(i), " ")).otherwise(F.element_at(run(i), 1)).alias("before"),
-    )
-    runs = texts.where(F.size("terms") > 0).select(number.alias("number"), F.explode(F.transform(F.sequence(F.lit(1), last), place_of)).alias("at")).select("number", "at.*")
-    owned = runs.groupBy("place", "after", "before").agg(F.min("number").alias("number"))
-    sided = lambda name, side: F.transform(F.split(name, " "), lambda w: F.struct(w.alias("w"), F.lit(side).alias("side")))
-    sides = owned.select("number", F.explode(F.concat(sided("after", 0), sided("before", 1))).alias("s")).select("number", "s.*")
-    own = sides.groupBy("w", "number").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
-    own = stored(own.select("w", "number", (F.col("number") < 0).cast("int").alias("toxic")), "words")
-    totals = own.groupBy("number").agg(F.max("toxic").alias("toxic")).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    without = texts.where(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
-    n, bad = totals["n"] + without["n"], totals["bad"] + without["bad"]
+    totals = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
+    n, bad = totals["n"], totals["bad"]
     if not bad or bad == n:
         return Model({}, [50.0] * (GRADES - 1))
-    words = own.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("t")).where("a > 1")
-    a, t = F.col("a").cast("double"), F.col("t").cast("double")
-    log0 = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    g2 = 2 * (log0(a, t * (bad / n)) + log0(t - a, t * (1 - bad / n)) + log0(bad - a, (n - t) * (bad / n)) + log0((n - t) - (bad - a), (n - t) * (1 - bad / n)))
-    chosen = words.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / t > bad / n)).orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect()
-    vocabulary = [r["w"] for r in chosen]
+
+    def significant(pairs: DataFrame) -> list[str]:
+        """From w, toxic of every text that a word is in."""
+        words = pairs.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("t")).where("a > 1")
+        a, t = F.col("a").cast("double"), F.col("t").cast("double")
+        log0 = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+        g2 = 2 * (log0(a, t * (bad / n)) + log0(t - a, t * (1 - bad / n)) + log0(bad - a, (n - t) * (bad / n)) + log0((n - t) - (bad - a), (n - t) * (1 - bad / n)))
+        chosen = words.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / t > bad / n))
+        return [r["w"] for r in chosen.orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect()]
+
+    listed = lambda words: F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "w string"))
+    first = significant(texts.select("toxic", F.explode(F.array_distinct("terms")).alias("w")))
+    # The words from BESIDE before to a word, and from it to BESIDE after, are its places (at the ends of a text, as
+    # many words that hold it). One that several texts have is that of one of them, a toxic one if there is one:
+    # toxic texts have negative numbers.
+    number = F.shiftrightunsigned("text_hash", 1).bitwiseOR(F.when(F.col("toxic") > 0, F.lit(-(2**63))).otherwise(F.lit(0)))
+    run = lambda i: F.xxhash64(F.slice("terms", F.greatest(i, F.lit(1)), BESIDE + 1))
+    places_of = F.transform("terms", lambda w, i: F.struct(w.alias("w"), F.array(run(i + 1 - BESIDE), run(F.least(i + 1, F.size("terms") - BESIDE))).alias("places")))
+    places = texts.select(number.alias("number"), F.explode(places_of).alias("at")).select("number", "at.*").join(listed(first), "w")
+    owned = places.select("number", "w", F.posexplode("places").alias("side", "place")).groupBy("w", "side", "place").agg(F.min("number").alias("number"))
+    own = owned.groupBy("w", "number").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
+    vocabulary = significant(own.select("w", (F.col("number") < 0).cast("int").alias("toxic")))
     if not vocabulary:
         return Model({}, [50.0] * (GRADES - 1))
     place = {w: i for i, w in enumerate(vocabulary)}
     # only the feature words of at most max_rows texts come to the driver, and one count of the rows without any
-    listed = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "w string")
-    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).join(F.broadcast(listed), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
+    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).join(listed(vocabulary), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
     cells = found.toPandas().sort_values(["text_hash", "w"])
     held = cells.drop_duplicates("text_hash")
     all_of = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
