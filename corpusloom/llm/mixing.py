@@ -2,9 +2,9 @@
 
 Targets: sources in code point order weigh ``WEIGHTS`` in turn and share ``SHARE`` of all words; a target
 stops at ``MOST`` times its source's words and the excess goes to the others by weight (water filling).
-Rates: the document rates of least relative entropy that meet all targets are exponentials of a dual value
-per constraint. Newton iterations on the convex dual find them; each is one distributed sum over the
-(source, size) histogram, which is all that the dual depends on.
+Rates: with words as the unit, the rates of least relative entropy that meet all targets are exponentials of a
+dual value per constraint, hence target / source_size for every document of a source. Newton iterations on the
+convex dual find its logarithm; each is one distributed sum over the (source, size) histogram.
 Copies: rates are rounded systematically along the documents of a source in order of size, so that every
 stretch of sizes gets its share of extra copies; then a few documents of fitting sizes, at most one per
 power of two and source, change by one copy to take up the rest.
