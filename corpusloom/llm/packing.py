@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import chunk_ids
+from .tokens import chunk_ids, parts
 
 MAX_TOKENS, MAX_SEGMENTS = 2048, 256
 #: Items, or tokens, that are packed together in a task.
@@ -103,10 +103,10 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, prompt: str | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all rows of ``docs`` (doc_id, text) in sequences. The tokens of the column ``prompt``, if
     given, come before those of the text and bear no loss; the other tokens and the end token do."""
-    loss_limit = max_loss or max_tokens
+    loss_limit = max_tokens if max_loss is None else max_loss
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = chunk_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, first, held = chunk_ids(tokenizer), 0, 0
         packer, ids, names = Packer(max_tokens, max_segments, loss_limit), {}, {}
         used: dict[int, int] = {}
         serial = TaskContext.get().partitionId() << 33
@@ -132,15 +132,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOK
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 9 else pa.int64()) for k, v in enumerate(out)], [c.split()[0] for c in PIECES.split(", ")])
 
         for batch in batches:
-            for doc_id, text, before in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                head = words.encode(before or "")
-                item = len(packer.items) + len(waiting)
-                ids[item], names[item] = head + words.encode(text or "") + end, doc_id
-                waiting.append((len(ids[item]) // 4, len(head) // 4))
-                if len(waiting) == WINDOW_ITEMS or sum(n for n, _ in waiting[-512:]) >= WINDOW_TOKENS:
-                    packer.window(waiting)
-                    waiting = []
-                    yield from closed()
+            for part in parts(batch, 1):
+                texts, prompts = ([x or "" for x in part.column(k).to_pylist()] for k in (1, 2))
+                heads = words.encode_all(prompts)
+                bodies = words.encode_all(texts, end_id)
+                for i, doc_id in enumerate(part.column(0).to_pylist()):
+                    head, body = (own[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for own, bounds in (heads, bodies))
+                    item = first + len(waiting)
+                    ids[item], names[item] = head + body, doc_id
+                    waiting.append((len(ids[item]) // 4, len(head) // 4))
+                    held += waiting[-1][0]
+                    if len(waiting) == WINDOW_ITEMS or held >= WINDOW_TOKENS:
+                        packer.window(waiting)
+                        first, waiting, held = first + len(waiting), [], 0
+                        yield from closed()
         if waiting:
             packer.window(waiting)
         packer.finish()

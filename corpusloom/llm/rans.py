@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored
-from .tokens import chunk_ids
+from .tokens import chunk_ids, parts
 
 SCALE_BITS = 20
 LANES = 128
@@ -39,21 +39,26 @@ BLOCKS = "segment int, block int, first_id long, before long, n_tokens long, doc
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian, 2 bytes each while they fit, else 4) of every whole text."""
+    """doc_id, n_tokens, ids (little-endian, 2 bytes each if the vocabulary fits, else 4) of every whole text; and a
+    last row of each task, without these, with ``counted``: the pairs (token, n) of all its tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = chunk_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        narrow = words.tokenizer.get_vocab_size() <= 65_536 and end_id < 65_536
+        words = chunk_ids(tokenizer)
+        total = np.zeros(max(end_id + 1, words.tokenizer.get_vocab_size()), np.int64)
+        if end_id > np.iinfo(words.dtype).max:
+            raise ValueError("the end id is larger than the vocabulary's ids")
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [words.encode(x or "") + end for x in part.column(1).to_pylist()]
-                n = [len(x) // 4 for x in ids]
-                if narrow:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for part in parts(batch, 1):
+                ids, bounds = words.encode_all([x or "" for x in part.column(1).to_pylist()], end_id)
+                total += np.bincount(ids, minlength=len(total))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids)]).cast(kinds[2])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds), kinds[1]), raw, pa.nulls(len(part), kinds[3])], ["doc_id", "n_tokens", "ids", "counted"])
+        found = np.flatnonzero(total)
+        counted = np.stack([found, total[found]], 1).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:3]), pa.array([counted], kinds[3])], ["doc_id", "n_tokens", "ids", "counted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens int, ids binary, counted binary")
 
 
 def _as_ids(n: int, raw: bytes) -> np.ndarray:
@@ -61,20 +66,15 @@ def _as_ids(n: int, raw: bytes) -> np.ndarray:
 
 
 def count_tokens(tokens: DataFrame) -> DataFrame:
-    """token, n over all documents; each task sends one row per distinct token."""
+    """token, n over all documents, from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = np.bincount(_as_ids(n, raw))
-                if len(seen) > len(total):
-                    total = np.pad(total, (0, len(seen) - len(total)))
-                total[: len(seen)] += seen
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["token", "n"])
+            for raw in batch.column(0).to_pylist():
+                token, n = np.frombuffer(raw, "<i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(n.copy())], ["token", "n"])
 
-    return tokens.select("n_tokens", "ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.where("counted is not null").select("counted").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def scaled(counts: list[tuple[int, int]], bits: int = SCALE_BITS) -> list[tuple[int, int]]:
@@ -210,7 +210,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if ready:
             yield flush(ready)
 
-    ordered = tokens.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("counted is null").select("doc_id", "n_tokens", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 

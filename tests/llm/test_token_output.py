@@ -3,24 +3,23 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpusloom.llm import packing, rans
+from corpusloom.llm import packing, rans, tokens
 from corpusloom.llm.common import scratch
 from corpusloom.llm.tokens import ChunkIds
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-TEXTS = ["", None, " ", "a  b", " lead", "trail ", "it's we'll 12 3a\n\nnext", "ΣΑΣ İx ſ é", "日本 語。", "<|endoftext|> x", "plain words, " * 4000, "plain words, " * 4000, "x" * 5000]
+TEXTS = ["", None, " ", "a  b", " lead", "trail ", "it's we'll 12 3a\n\nnext", "ΣΑΣ İx ſ é", "日本 語。", "<|endoftext|> x", "a <|startoftext|>\n<|EndOfText|> b", " \n\n a\n\n\tb. \nc%%%\n", "plain words, " * 4000, "plain words, " * 4000, "x" * 5000]
 
 
 @functools.lru_cache
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def whole(path, text):
