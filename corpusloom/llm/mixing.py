@@ -2,16 +2,18 @@
 
 Targets: sources in code point order weigh ``WEIGHTS`` in turn and share ``SHARE`` of all words; a target
 stops at ``MOST`` times its source's words and the excess goes to the others by weight (water filling).
-Rates: with words as the unit, the rates of least relative entropy that meet all targets are exponentials of a
-dual value per constraint, hence target / source_size for every document of a source. Newton iterations on the
-convex dual find its logarithm; each is one distributed sum over the (source, size) histogram.
+Rates: of all rates per document, up to ``MOST``, that meet the words of each source, those of least relative
+entropy to taking every document once are ``min(MOST, exp(dual * size))``, with one dual value a source: long
+documents are tilted up where a source has to grow, and down where it has to shrink. The dual is convex; damped
+Newton steps inside a shrinking bracket find its values. Each step is one distributed sum over the (source,
+size) histogram, in decimals, so that the order of the sum doesn't matter.
 Copies: rates are rounded systematically along the documents of a source in order of size, so that every
-stretch of sizes gets its share of extra copies; then a few documents of fitting sizes, at most one per
+stretch of sizes gets its share of copies; then a few documents of fitting sizes, at most one per
 power of two and source, change by one copy to take up the rest.
 
-Defined results: a null text has size 0; a null source is a source, the last; documents of size 0 are
-taken with the copies that their place gives and count nothing; rows that repeat are separate documents;
-no rows give no rows. Ties are ordered by a hash of the id, then by id. Reruns agree.
+Defined results: a null text has size 0; a null source is a source, the last; documents of size 0 have rate 1
+and count nothing; rows that repeat are separate documents; no rows give no rows. Ties are ordered by a hash of
+the id, then by id. Reruns agree.
 """
 
 from __future__ import annotations
@@ -23,10 +25,16 @@ from .common import WORD, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-#: Documents of one source and size are ranked in so many parts.
-PARTS = 64
-#: Newton stops at this relative distance from the targets.
-CLOSE, MOST_STEPS = 1e-9, 60
+#: Documents of one source and size are ranked in parts of about so many.
+PART_ROWS = 256
+#: Tables of large (source, size) cells up to so many rows are sent to all tasks.
+BROADCAST_CELLS = 200_000
+#: Sizes of a source are summed up in so many stretches for each doubling, then within them.
+STRETCHES = 16
+#: Newton stops at this relative distance from the targets; a step moves the rate of a mean document by e^2 at most.
+CLOSE, MOST_STEPS, STEP = 1e-7, 80, 2.0
+#: Rates are rounded in units of 2^-24.
+UNIT = 1 << 24
 
 
 def n_words(text: Column) -> Column:
@@ -50,70 +58,106 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """source, target, rate: the rates exp(dual) that meet the targets, from cells (source, size, n)."""
-    duals = stored(wanted.select("source", "target", F.lit(0.0).alias("dual")), "duals")
+    """s, dual: the values whose rates meet the targets, from cells (s, size, n) and sources (s, target, source_size,
+    mean, least). Sizes are taken in units of the source's mean."""
+    grow, full = F.col("target") > F.col("source_size"), F.col("target") >= F.col("source_size") * (MOST * (1 - 1e-12))
+    ratio = F.col("target") / F.col("source_size")
+    # where all documents reach MOST, or where even the shortest ones have shrunk enough
+    high = F.when(grow, F.log(F.lit(MOST)) * F.col("mean") / F.col("least") * 1.0001).otherwise(0.0)
+    low = F.when(grow, F.lit(0.0)).otherwise(F.log(ratio) * F.col("mean") / F.col("least"))
+    real = wanted.where("target > 0")
+    duals = stored(real.select("s", "target", "mean", low.alias("low"), high.alias("high"), F.when(full, high).otherwise(0.0).alias("dual"), full.alias("done")), "duals")
     for _ in range(MOST_STEPS):
-        # gradient and (diagonal) Hessian of the dual at the present rates
-        tilted = (
-            cells.join(duals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-            .groupBy("source", "target", "dual")
-            .agg(F.sum(F.col("n") * F.col("size") * F.exp("dual")).alias("mass"))
-        )
-        step = F.when((F.col("mass") > 0) & (F.col("target") > 0), (F.col("target") - F.col("mass")) / F.col("mass")).otherwise(F.lit(0.0))
-        duals = stored(tilted.select("source", "target", (F.col("dual") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).alias("dual"), F.abs(step).alias("off")), "duals")
-        if (duals.agg(F.max("off")).first()[0] or 0.0) <= CLOSE:
+        r = rate(F.col("dual"), F.col("size"), F.col("mean"))
+        words = F.col("n") * F.col("size") * r
+        bend = F.when(r < MOST, words * F.col("size") / F.col("mean")).otherwise(0.0)
+        own = ["s", "target", "mean", "low", "high", "dual", "done"]
+        exact = lambda x: F.sum(x.cast("decimal(32,6)")).cast("double")
+        tilted = cells.where("size > 0").join(duals, "s").groupBy(*own).agg(exact(words).alias("mass"), exact(bend).alias("bend"))
+        short = F.col("mass") < F.col("target")
+        low, high = F.when(short, F.col("dual")).otherwise(F.col("low")), F.when(short, F.col("high")).otherwise(F.col("dual"))
+        step = F.greatest(F.lit(-STEP), F.least(F.lit(STEP), (F.col("target") - F.col("mass")) / F.col("bend")))
+        newton = F.when(F.col("bend") > 0, F.col("dual") + step)
+        inside = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        done = F.col("done") | (F.abs(F.col("mass") - F.col("target")) <= CLOSE * F.col("target"))
+        duals = stored(tilted.select("s", "target", "mean", low.alias("low"), high.alias("high"), F.when(done, F.col("dual")).otherwise(inside).alias("dual"), done.alias("done")), "duals")
+        if duals.where("not done").isEmpty():
             break
-    return duals.select("source", F.when(F.col("target") > 0, F.least(F.exp("dual"), F.lit(MOST))).otherwise(F.lit(0.0)).alias("rate"))
+    return duals.select("s", "dual")
+
+
+def rate(dual: Column, size: Column, mean: Column) -> Column:
+    return F.least(F.lit(MOST), F.exp(F.least(F.lit(1.0), dual * size / mean)))
+
+
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, s (the source, never null), text_hash, size, nth: the number of a row among those of equal id,
+    source and text, which are interchangeable."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash"), n_words(F.col("text")).alias("size"), *more)
+    same = Window.partitionBy("doc_id", "s", "text_hash", "size")
+    return rows.withColumn("nth", F.row_number().over(same.orderBy("s")))
+
+
+KEY = ["s", "text_hash", "size", "nth"]
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, nth (number among rows of that id), source, size, source_size, target, rate, copies, taken."""
-    same_id = Window.partitionBy("doc_id").orderBy("size", "source")
-    rows = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("nth", F.row_number().over(same_id)), "sizes")
-    cells = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
-    wanted = stored(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))), "targets")
-    rates = balance(cells, wanted)
-    per_source = wanted.join(rates.withColumnRenamed("source", "_r"), F.col("source").eqNullSafe(F.col("_r"))).select(F.col("source").alias("_s"), "source_size", "target", "rate")
-
-    # place of each document in the size order of its source, from counts by (source, size, part)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
-    in_source = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
-    offsets = offsets.select(F.col("source").alias("_o"), F.col("size").alias("_size"), F.col("part").alias("_part"), "before")
-    in_part = Window.partitionBy("source", "size", "part").orderBy("doc_id", "nth")
-    placed = rows.withColumn("in_part", F.row_number().over(in_part)).join(offsets, F.col("source").eqNullSafe(F.col("_o")) & (F.col("size") == F.col("_size")) & (F.col("part") == F.col("_part")))
-    placed = placed.join(per_source, F.col("source").eqNullSafe(F.col("_s"))).withColumn("place", F.col("before") + F.col("in_part"))
-    share = F.col("rate") - F.floor("rate")
-    extra = F.floor(F.col("place") * share + 0.5) - F.floor((F.col("place") - 1) * share + 0.5)
-    rounded = stored(placed.select("doc_id", "nth", "source", "size", "source_size", "target", "rate", (F.floor("rate") + extra).cast("long").alias("copies")), "rounded")
+    """doc_id, text_hash, nth (number among equal rows), source, size, source_size, target, rate, copies, taken."""
+    rows = stored(keyed(docs), "sizes")
+    cells = stored(rows.groupBy("s", "source", "size").agg(F.count("*").alias("n")), "cells")
+    held = cells.groupBy("s", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    found = targets(held.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), "target")
+    wanted = stored(held.join(found, "s").select("s", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"), "least"), "targets")
+    per_source = wanted.join(balance(cells.drop("source"), wanted), "s", "left").select("s", "source_size", "target", "mean", F.coalesce("dual", F.lit(0.0)).alias("dual"))
+    per_cell = cells.join(per_source, "s").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("dual"), F.col("size"), F.col("mean"))).otherwise(F.lit(1.0)))
+    per_cell = per_cell.withColumn("units", F.round(F.col("rate") * UNIT).cast("long")).withColumn("stretch", F.floor(F.log2(F.col("size") + 1) * STRETCHES))
+    per_cell = stored(per_cell.select("s", "size", "n", "stretch", "source_size", "target", "rate", "units"), "rates")
+
+    # what stands before each cell in the size order of its source: the stretches before, then the sizes before
+    before = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = per_cell.groupBy("s", "stretch").agg(F.sum(F.col("n") * F.col("units")).alias("sum"))
+    stretches = stretches.select("s", "stretch", before(Window.partitionBy("s").orderBy("stretch")).alias("base"))
+    placed = per_cell.withColumn("sum", F.col("n") * F.col("units")).withColumn("within", before(Window.partitionBy("s", "stretch").orderBy("size")))
+    placed = placed.join(stretches, ["s", "stretch"]).select("s", "size", "source_size", "target", "rate", "units", (F.col("base") + F.col("within")).alias("base"))
+
+    # and before each document in its cell, large cells in parts
+    big = cells.where(F.col("n") > PART_ROWS).select("s", "size", F.ceil(F.col("n") / PART_ROWS).alias("parts"))
+    big = F.broadcast(big) if big.count() <= BROADCAST_CELLS else big
+    dealt = rows.join(big, ["s", "size"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "nth"), F.coalesce("parts", F.lit(1).cast("long"))))
+    counts = dealt.groupBy("s", "size", "part").agg(F.count("*").alias("n")).withColumn("sum", F.col("n")).withColumn("earlier", before(Window.partitionBy("s", "size").orderBy("part")))
+    offsets = counts.join(placed, ["s", "size"]).select("s", "size", "part", "source_size", "target", "rate", "units", (F.col("base") + F.col("earlier") * F.col("units")).alias("base"))
+    in_part = Window.partitionBy("s", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash", "nth")
+    ranked = dealt.withColumn("place", F.row_number().over(in_part)).join(offsets, ["s", "size", "part"])
+    upto = lambda k: F.floor((F.col("base") + k * F.col("units") + UNIT // 2) / UNIT)
+    copies = upto(F.col("place")) - upto(F.col("place") - 1)
+    rounded = stored(ranked.select("doc_id", *KEY, "source", "source_size", "target", "rate", copies.cast("long").alias("copies")), "rounded")
 
     # what is missing or too much in a source, taken up by single copies, large sizes first
-    missing = rounded.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("has")).select(F.col("source").alias("_s"), (F.col("target") - F.col("has")).alias("missing"))
-    near = rounded.where("size > 0").join(missing, F.col("source").eqNullSafe(F.col("_s")))
-    able = near.where(((F.col("missing") > 0) & (F.col("copies") < MOST)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
-    choices = able.groupBy("source", "missing", F.floor(F.log2("size")).alias("power")).agg(F.min(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id", "nth")).alias("c"))
-    folded = choices.groupBy("source", "missing").agg(F.sort_array(F.collect_list("c"), asc=False).alias("c"))
+    missing = rounded.groupBy("s", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("has")).select("s", (F.col("target") - F.col("has")).alias("missing"))
+    able = rounded.where("size > 0").join(missing, "s").where(((F.col("missing") > 0) & (F.col("copies") < MOST)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
+    choices = able.groupBy("s", "missing", F.floor(F.log2("size")).alias("power")).agg(F.min(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id", "text_hash", "nth")).alias("c"))
+    folded = choices.groupBy("s", "missing").agg(F.sort_array(F.collect_list("c"), asc=False).alias("c"))
     left = lambda acc: acc["left"]
-    start = F.struct(F.abs("missing").alias("left"), F.array().cast("array<struct<doc_id:bigint,nth:int>>").alias("took"))
-    fold = F.aggregate(
-        "c",
-        start,
-        lambda acc, c: F.when(
-            c["size"] <= left(acc) + 0.5,
-            F.struct((left(acc) - c["size"]).alias("left"), F.concat(acc["took"], F.array(F.struct(c["doc_id"].cast("long").alias("doc_id"), c["nth"].cast("int").alias("nth")))).alias("took")),
-        ).otherwise(acc),
-    )
-    change = folded.select(F.explode(fold["took"]).alias("t"), F.signum("missing").cast("long").alias("change")).select(F.col("t.doc_id").alias("_id"), F.col("t.nth").alias("_n"), "change")
-    final = rounded.join(change, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_n")), "left")
+    took = choices.select(F.array(F.col("c")).alias("c")).schema["c"].dataType
+    start = F.struct(F.abs("missing").alias("left"), F.array().cast(took).alias("took"))
+    fold = F.aggregate("c", start, lambda acc, c: F.when(c["size"] <= left(acc) + 0.5, F.struct((left(acc) - c["size"]).alias("left"), F.concat(acc["took"], F.array(c)).alias("took"))).otherwise(acc))
+    change = folded.select("s", F.explode(fold["took"]).alias("t"), F.signum("missing").cast("long").alias("change")).select(*[(F.col("s") if k == "s" else F.col(f"t.{k}")).alias(f"_{k}") for k in KEY], F.col("t.doc_id").alias("_id"), "change")
+    final = rounded.join(change, _same(change), "left")
     copies = F.col("copies") + F.coalesce("change", F.lit(0))
-    return final.select("doc_id", "nth", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return final.select("doc_id", *KEY, "source", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _same(other: DataFrame) -> Column:
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    for k in KEY:
+        same &= F.col(k) == F.col(f"_{k}")
+    return same
 
 
 def copied(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it."""
     # the row travels whole, so that its columns may have any names
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "source")))
-    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("nth").alias("_n"), "copies")
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("nth") == F.col("_n")))
+    numbered = keyed(docs, F.struct("*").alias("row"))
+    taken = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), *[F.col(k).alias(f"_{k}") for k in KEY], "copies")
+    joined = numbered.join(taken, _same(taken))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
