@@ -2,12 +2,14 @@
 
 Two passes parse every page to a tree. The first hashes element subtrees and counts, per host, on how many
 pages with different main parts each occurs, also by section (the first folder of the path); a subtree that
-recurs on many pages of its host or section is template.
-The second deletes template subtrees, with the parts that HTML itself marks as no content (menus, headers,
-footers, asides, forms, scripts, notices, adverts, comments), and joins the blocks that are left. Headings,
-paragraphs and list items count like any other subtree, in an article too; parts of a sentence and cells of
-an article's table only go with the block that holds them. Where the page marks its article or main part,
-what is left of that is the text.
+recurs on many pages of its host or section is template. A subtree has two hashes: of its texts, and of its shape
+(tags, classes, ids and the kinds of its children, with the texts masked), because menus and adverts recur with
+other words. Shapes count only beside the article or main part of a page that marks one, and only where they hold
+no prose. Headings, paragraphs and list items count like any other subtree by their texts, in an article too;
+parts of a sentence and cells of an article's table only go with the block that holds them.
+The second pass deletes template subtrees from the whole page. Then come the checks that need no counts: parts
+that HTML itself marks as no content (menus, headers, footers, asides, forms, scripts, notices, adverts, comments)
+go, and where the page marks its article or main part, only what is left of that is the text.
 
 Defined results: null or empty html gives ''; a null url is a host of its own; repeated rows are each
 returned; pages of any length are read whole. Extra columns are not read.
@@ -32,8 +34,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.3
 MANY_PAGES, SMALL_SHARE = 50, 0.01
 #: or, in a section (the first folder of the path), on so many of it and LEAST_SHARE.
 SECTION_PAGES = 10
-#: Hosts' template tables up to so many hashes are sent to all tasks; larger ones are joined by shuffle.
-BROADCAST_HASHES = 500_000
+#: Template tables up to so many hashes are sent to all tasks; larger ones are joined by shuffle.
+BROADCAST_HASHES = 200_000
 
 # HTML's element classes.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,6 +43,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: Parts of a line or of a row: not a block of their own.
 PARTS = {"a", "abbr", "b", "cite", "code", "em", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "td", "th", "u"}
+#: Elements that may hold prose.
+PROSE = {"article", "blockquote", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "main", "p", "pre", "table"}
 WHOLE_PAGE = {"#root", "html", "body", "head", "article", "main"}
 #: Opening the key ends an open element of the values, up to the nearest container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,10 +66,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "hash", "marked")
+    __slots__ = ("tag", "attrs", "parts", "parent", "hash", "shape", "marked")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
-        self.tag, self.attrs, self.parts, self.parent, self.hash = tag, attrs, [], parent, b""
+        self.tag, self.attrs, self.parts, self.parent, self.hash, self.shape = tag, attrs, [], parent, 0, 0
         self.marked = parent is not None and (parent.marked or parent.tag in ("article", "main"))
 
 
@@ -145,37 +149,28 @@ def no_content(node: Node, in_article: bool) -> bool:
     return bool(names(node))
 
 
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def content_roots(nodes: list[Node]) -> list[Node]:
     """The outermost articles; else the main elements; else those in a part with the name of a layout; else the
     whole page. Comments' and related articles don't count."""
-    for beside in ({"comment", "comments", "related", "sidebar"}, {"comment", "comments", "related"}):
+    if not any(n.tag in ("article", "main") for n in nodes):
+        return nodes[:1]
+    # what stands above each node, parents first
+    above: dict[int, set[str]] = {id(nodes[0]): set()}
+    for n in nodes[1:]:
+        up = n.parent
+        own = {up.tag} if up.tag in ("article", "main", "aside", "footer", "nav", "template") else set()
+        own |= names(up) & {"comment", "comments", "related", "sidebar"}
+        above[id(n)] = above[id(up)] | own if own else above[id(up)]
+    off = {"aside", "footer", "nav", "template", "comment", "comments", "related"}
+    for beside in (off | {"sidebar"}, off):
         for tag in ("article", "main"):
-            found = [n for n in nodes if n.tag == tag and not no_content(n, True) and not _inside(n.parent, (tag,))]
-            found = [n for n in found if not _dropped_above(n, beside)]
+            found = [n for n in nodes if n.tag == tag and above[id(n)].isdisjoint(beside | {tag}) and not no_content(n, True)]
             if found:
                 order = {id(n): i for i, n in enumerate(_in_order(nodes[0]))}
                 return sorted(found, key=lambda n: order[id(n)])
     return nodes[:1]
 
 
-def _dropped_above(node: Node, beside: set[str]) -> bool:
-    """Under an element that marks itself as one of ``beside``; other names don't count."""
-    up = node.parent
-    while up is not None:
-        if up.tag in ("aside", "footer", "nav", "template") or not beside.isdisjoint(names(up)):
-            return True
-        up = up.parent
-    return False
-
-
 def _in_order(root: Node) -> Iterator[Node]:
     todo = [root]
     while todo:
@@ -184,15 +179,34 @@ def _in_order(root: Node) -> Iterator[Node]:
         todo += [x for x in reversed(node.parts) if isinstance(x, Node)]
 
 
+def _number(h) -> int:
+    return int.from_bytes(h.digest(), "big", signed=True)
+
+
 def hashed(nodes: list[Node]) -> None:
-    """Set the hash of every subtree: tag, class and id, texts and children in order."""
+    """Set the hash of every subtree (tag, class and id, texts and children in order), and the shape of those that are
+    beside the marked part and hold no prose; it is 0 for the others."""
     for node in reversed(nodes):
-        h = hashlib.blake2b(node.tag.encode(), digest_size=8)
+        own = node.tag
         if node.attrs:
-            h.update(" ".join(max(v, key=len) for n, *v in ATTRIBUTE.findall(node.attrs) if n.lower() in ("class", "id")).encode("utf-8", "replace"))
+            own += " " + " ".join(max(v, key=len) for n, *v in ATTRIBUTE.findall(node.attrs) if n.lower() in ("class", "id"))
+        own = own.encode("utf-8", "replace")
+        h = hashlib.blake2b(own, digest_size=8)
+        kinds: dict[int, None] = {}
+        plain = not node.marked and node.tag not in PROSE
         for x in node.parts:
-            h.update(b"\x00" + x.hash if isinstance(x, Node) else b"\x01" + SPACE.sub(" ", x).strip().encode("utf-8", "replace"))
-        node.hash = h.digest()
+            if isinstance(x, Node):
+                h.update(b"\x00" + x.hash.to_bytes(8, "big", signed=True))
+                kinds[x.shape] = None
+                plain = plain and x.shape != 0
+            else:
+                text = SPACE.sub(" ", x).strip()
+                h.update(b"\x01" + text.encode("utf-8", "replace"))
+                if text:
+                    kinds[1] = None
+        node.hash = _number(h)
+        if plain:
+            node.shape = _number(hashlib.blake2b(own + b"\x02" + repr(list(kinds)).encode(), digest_size=8, person=b"shape"))
 
 
 def removable(node: Node) -> bool:
@@ -207,19 +221,29 @@ def candidates(source: str) -> tuple[int, set[int]]:
     nodes = _nodes(parse(source))
     hashed(nodes)
     roots = content_roots(nodes)
-    main = hashlib.blake2b(b"".join(r.hash for r in roots), digest_size=8).digest()
-    out = {int.from_bytes(n.hash, "big", signed=True) for n in nodes if removable(n)}
-    return int.from_bytes(main, "big", signed=True), out
+    main = hashlib.blake2b(repr([r.hash for r in roots]).encode(), digest_size=8)
+    free = [n for n in nodes if removable(n)]
+    out = {n.hash for n in free}
+    if roots[0].tag != "#root":
+        out |= {n.shape for n in free if n.shape}
+    return _number(main), out
 
 
 def extract(source: str, template: set[int]) -> str:
+    return extracted(source, template)[0]
+
+
+def extracted(source: str, template: set[int]) -> tuple[str, int]:
+    """The text, and how many template subtrees were deleted."""
     nodes = _nodes(parse(source))
     if template:
         hashed(nodes)
     roots = content_roots(nodes)
     marked = roots[0].tag != "#root"
+    starts = {id(r) for r in roots}
     blocks: list[str] = []
     now: list[str] = []
+    removed, inside = 0, not marked
 
     def end() -> None:
         text = SPACE.sub(" ", "".join(now)).strip()
@@ -227,31 +251,40 @@ def extract(source: str, template: set[int]) -> str:
             blocks.append(text)
         now.clear()
 
-    for root in roots:
-        todo: list = [root]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                end()
-            elif isinstance(x, str):
+    todo: list = [nodes[0]]
+    while todo:
+        x = todo.pop()
+        if x is None:
+            end()
+        elif x is False:
+            end()
+            inside = False
+        elif isinstance(x, str):
+            if inside:
                 now.append(x)
-            else:
-                if x is not root and no_content(x, marked):
-                    if x.tag in BLOCK:
-                        end()
-                    continue
-                if template and int.from_bytes(x.hash, "big", signed=True) in template and removable(x):
-                    if x.tag in BLOCK:
-                        end()
-                    continue
-                if x.tag == "br":
-                    now.append(" ")
-                elif x.tag in BLOCK:
+        else:
+            root = marked and id(x) in starts
+            if template and not root and (x.hash in template or marked and x.shape in template) and removable(x):
+                removed += 1
+                if x.tag in BLOCK:
+                    end()
+                continue
+            if inside and not root and x is not nodes[0] and no_content(x, marked):
+                if x.tag in BLOCK:
                     end()
-                    todo.append(None)
-                todo += reversed(x.parts)
-        end()
-    return "\n".join(blocks)
+                continue
+            if root:
+                end()
+                inside = True
+                todo.append(False)
+            elif x.tag == "br":
+                now.append(" ")
+            elif x.tag in BLOCK:
+                end()
+                todo.append(None)
+            todo += reversed(x.parts)
+    end()
+    return "\n".join(blocks), removed
 
 
 def host(url: Column) -> Column:
@@ -264,8 +297,8 @@ def section(url: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, section, hashes: the subtrees that recur on many different pages of the host (section '') or of the
-    section. A page has at most 1 / SMALL_SHARE times its own subtrees' number of them, so the arrays are bounded."""
+    """host, section, hash: the subtrees that recur on many different pages of the host (section '') or of the
+    section. A host has at most 1 / SMALL_SHARE times a page's number of subtrees of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,26 +321,38 @@ def templates(pages: DataFrame) -> DataFrame:
     n, share = F.col("n"), F.col("n") / F.col("pages")
     in_section = (n >= SECTION_PAGES) & (share >= LEAST_SHARE)
     on_host = (share >= LEAST_SHARE) | ((n >= MANY_PAGES) & (share >= SMALL_SHARE))
-    kept = counts.where("hash <> 0").join(total, ["host", "section"]).where(F.when(F.col("section") == "", on_host).otherwise(in_section))
-    return kept.groupBy("host", "section").agg(F.collect_list("hash").alias("hashes"))
+    return counts.where("hash <> 0").join(total, ["host", "section"]).where(F.when(F.col("section") == "", on_host).otherwise(in_section)).select("host", "section", "hash")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html)."""
+    """page_id, url, text, n_chars, n_removed (template subtrees) of every row of ``pages`` (page_id, url, html)."""
     found = stored(templates(pages), "templates")
-    size = found.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0))).first()[0]
-    sent = F.broadcast if size <= BROADCAST_HASHES else lambda df: df
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), section(F.col("url")).alias("section"))
-    joined = keyed.join(sent(found.where("section = ''").select("host", "hashes")), "host", "left")
-    joined = joined.join(sent(found.where("section <> ''").withColumnRenamed("hashes", "more")), ["host", "section"], "left")
-    joined = joined.select("page_id", "url", "html", "hashes", "more")
+    small: dict[tuple[str, str], set[int]] | None = None
+    if found.count() <= BROADCAST_HASHES:
+        small = {}
+        for r in found.collect():
+            small.setdefault((r.host, r.section), set()).add(r.hash)
+        none = F.lit(None).cast("array<long>")
+        keyed = keyed.withColumn("hashes", none).withColumn("more", none)
+    else:  # Spark splits the pages of a large host, which is on the left side
+        lists = found.groupBy("host", "section").agg(F.collect_list("hash").alias("hashes"))
+        keyed = keyed.join(lists.where("section = ''").select("host", "hashes"), "host", "left")
+        keyed = keyed.join(lists.where("section <> ''").withColumnRenamed("hashes", "more"), ["host", "section"], "left")
+    shared = pages.sparkSession.sparkContext.broadcast(small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text = [extract(h or "", {*(t or ()), *(m or ())}) for h, t, m in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                text, removed = [], []
+                for source, name, folder, hashes, more in zip(*(part.column(k).to_pylist() for k in range(2, 7))):
+                    template = {*(hashes or ()), *(more or ())} if known is None else known.get((name, ""), set()) | known.get((name, folder), set())
+                    for column, v in zip((text, removed), extracted(source or "", template)):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    chosen = keyed.select("page_id", "url", "html", "host", "section", "hashes", "more")
+    return chosen.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_removed long")

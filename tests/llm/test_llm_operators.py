@@ -1,5 +1,7 @@
 import hashlib
+import html
 import itertools
+import math
 import random
 import re
 
@@ -127,13 +129,52 @@ def test_mix_meets_its_targets(spark):
     want = filled([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))])
     for s, w in zip(names, want):
         assert abs(target[s] - w) < 1e-6 and abs(taken[s] - w) <= 8
-    again = {(r.doc_id, r.nth): r.taken for r in mixing.mix(frame(spark, rows)).collect()}
-    assert again == {(r.doc_id, r.nth): r.taken for r in got}
+    key = lambda r: (r.doc_id, r.text_hash, r.source, r.nth)
+    again = {key(r): r.taken for r in mixing.mix(frame(spark, rows)).collect()}
+    assert len(again) == len(rows) and again == {key(r): r.taken for r in got}
     copies = mixing.copied(frame(spark, rows))
     assert copies.columns == frame(spark, []).columns and copies.count() == sum(r.copies for r in got)
     assert mixing.mix(frame(spark, [])).count() == 0 and mixing.mix(frame(spark, [(1, None, "a")])).first().taken == 0
 
 
+def tilted(sizes, target):
+    """Rates of least relative entropy up to 2 that meet the target, by bisection."""
+    if target >= 2 * sum(sizes):
+        return [2.0] * len(sizes)
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(s * min(2, math.exp(min(1, mid * s))) for s in sizes) < target else (low, mid)
+    return [min(2, math.exp(min(1, low * s))) for s in sizes]
+
+
+@pytest.mark.parametrize("names, shrinks", [("aaaaabbccddddddddddde", 0), ("aaaabbccccccddde", 1)])
+def test_rates_are_those_of_least_entropy(spark, monkeypatch, names, shrinks):
+    monkeypatch.setattr(mixing, "PART_ROWS", 5)
+    rng = random.Random(8)
+    # one size is very common
+    rows = [(i, " ".join("w" * (9 if i % 2 else rng.randrange(1, 300))), rng.choice(names)) for i in range(900)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, []).append(r)
+    shrunk = 0
+    for own in by_source.values():
+        want = tilted([r.size for r in own], own[0].target)
+        assert all(abs(r.rate - w) < 1e-5 for r, w in zip(own, want))
+        assert abs(sum(r.size * r.rate for r in own) / own[0].target - 1) < 1e-6
+        if own[0].target < 2 * own[0].source_size:
+            assert len({round(r.rate, 6) for r in own}) > 20
+        shrunk += own[0].target < own[0].source_size
+        # along the sizes, copies follow the rates
+        have = expect = 0
+        for r in sorted(own, key=lambda r: r.size):
+            have, expect = have + r.copies, expect + r.rate
+            assert abs(have - expect) < 22
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    assert shrunk == shrinks
+
+
 # 7: fingerprints
 
 
@@ -263,7 +304,7 @@ def test_site_template_goes(spark):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
     out = pages.main_text(df)
     got = {r.page_id: r.text for r in out.collect()}
-    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == len(rows)
+    assert out.columns == ["page_id", "url", "text", "n_chars", "n_removed"] and out.count() == len(rows)
     assert all(got[i] == f"story {i}\nmore {i}" for i in range(12))
     assert got[100] == "site line\ntale 0" and got[200] == "" and got[201] == "x" and got[300] == "same page"
     assert pages.main_text(df.limit(0)).count() == 0
@@ -282,6 +323,59 @@ def test_boxes_of_a_part_of_a_large_host_go(spark):
     assert all(got[i] == f"story {i}" + ("\nseldom" if 0 < i < 6 else "") for i in got)
 
 
+def brute_templates(rows):
+    """Counts of subtrees by host and section, in plain Python."""
+    on = {}
+    for url, source in rows:
+        m = re.match(r"[a-z]+://([^/]*)(?:/([^/?#]+)/)?", url)
+        main, own = pages.candidates(source)
+        for h in (0, *own):
+            on.setdefault((m[1], h), {}).setdefault(main, set()).add("/" + (m[2] or ""))
+    n = {}
+    for (host, h), mains in on.items():
+        for sections in mains.values():
+            for s in ("", min(sections)):
+                n[host, s, h] = n.get((host, s, h), 0) + 1
+    out = set()
+    for (host, s, h), k in n.items():
+        share = k / n[host, s, 0]
+        if h and k >= 5 and (share >= 0.3 or k >= 50 and share >= 0.01 if s == "" else k >= 10 and share >= 0.3):
+            out.add((host, s, h))
+    return out
+
+
+def plain_article(source):
+    """What stands in a page's article, by text rules alone."""
+    inner = re.search(r"<article>(.*?)</article>", source, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<br>", " ", inner))
+    blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
+    return "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_the_pages_of_the_table(spark, small, monkeypatch, limit):
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", limit)
+    df = spark.read.parquet(f"{small.rsplit('/', 1)[0]}/sf0.01/pages.parquet")
+    rows = df.collect()
+    found = {(r.host, r.section, r.hash) for r in pages.templates(df).collect()}
+    assert found == brute_templates([(r.url, r.html) for r in rows])
+    got = {r.page_id: r for r in pages.main_text(df).collect()}
+    assert {i: r.text for i, r in got.items()} == {r.page_id: plain_article(r.html) for r in rows}
+    # menus, adverts and footers have other words on each page, but one shape on a host
+    assert sum(r.n_removed > 0 for r in got.values()) > 50
+
+
+def test_shapes_go_beside_articles_only():
+    page = '<body><div class="box">{0}</div><div><a href="/{0}">{0}</a></div><article><div class="box">story {0}</div></article></body>'
+    seen = [pages.candidates(page.format(i))[1] for i in range(3)]
+    same = seen[0] & seen[1] & seen[2]
+    assert len(same) == 3  # the box, the list of links, its link
+    assert pages.extracted(page.format(7), same) == ("story 7", 2)
+    bare = page.replace("article>", "section>")
+    assert not pages.candidates(bare.format(1))[1] & pages.candidates(bare.format(2))[1]
+    assert pages.extracted(bare.format(7), same) == ("7\n7\nstory 7", 0)
+
+
 # 5: toxicity
 
 
