@@ -1,10 +1,11 @@
 """Exact top-k by inner product with pivot-table elimination.
 
-Distances of every vector to ``PIVOTS`` pivots are computed once. For a query q and a candidate x the
+Distances of every vector to ``PIVOTS`` pivots are computed once and stored. For a query q and a candidate x the
 triangle inequality gives, over all pivots p, the lower bound ``max |d(q,p) - d(x,p)|`` of d(q,x), hence
-an upper bound of the inner product, ``(|q|^2 + |x|^2 - d(q,x)^2) / 2``. In each pair of a block of
-queries and a block of candidates, candidates are scored in the order of their bounds until no bound left
-reaches the k-th best score. The results of the blocks are merged by a ranking window.
+an upper bound of the inner product, ``(|q|^2 + |x|^2 - d(q,x)^2) / 2``. Queries go in blocks of a fixed size to
+all candidates, which stay where they are: a task takes its candidates in the order of their bounds, in slices, and
+stops where no bound left reaches the k-th best score that it has for the query, from earlier slices and earlier
+batches too. The tasks' best are merged by a ranking window.
 
 Defined results: components are floor(64 * x); rows without an id, and vectors that are null or hold null
 or non-finite components, take no part; vectors of different lengths have no score; a query never finds
@@ -15,6 +16,7 @@ count; ties go to the smaller id. No rows give no rows. Extra columns are not re
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIVOTS = 24
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
-#: Candidates scored before the first look at the bounds that are left.
-FIRST = 512
-RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+PIVOTS = 128
+#: Queries that are sent to all tasks together.
+QUERY_BLOCK = 4096
+#: Candidates of the first slice; each slice is twice as long as the one before.
+FIRST = 64
 
 
 def quantised(embedding: Column) -> Column:
@@ -40,76 +42,117 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(-1, width) if len(column) else np.zeros((0, width))
-
-
-def search_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
-    """Best k of the candidates for each query; columns vec_id, width, v, to_pivots."""
-    found: list[list[np.ndarray]] = [[], [], []]
-    if queries.num_rows and candidates.num_rows:
-        width = queries["width"][0].as_py()
-        pivots = len(queries["to_pivots"][0])
-        qid, cid = np.asarray(queries["vec_id"]), np.asarray(candidates["vec_id"])
-        q, c = _matrix(queries["v"], width), _matrix(candidates["v"], width)
-        qp, cp = _matrix(queries["to_pivots"], pivots), _matrix(candidates["to_pivots"], pivots).T.copy()
-        c_norm = (c * c).sum(1)
-        for i in range(len(q)):
-            apart = np.zeros(len(c))
-            for p in range(pivots):
-                np.maximum(apart, np.abs(cp[p] - qp[i, p]), out=apart)
-            # half a unit is far more than the rounding of the distances
-            bound = (float(q[i] @ q[i]) + c_norm - apart * apart) / 2 + 0.5
-            bound[cid == qid[i]] = -np.inf
-            first = np.argpartition(-bound, FIRST)[:FIRST] if len(c) > FIRST else np.arange(len(c))
-            first = first[bound[first] > -np.inf]
-            scores = c[first] @ q[i]
-            if len(c) > FIRST:
-                worst = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-                rest = bound >= worst
-                rest[first] = False
-                rest = np.flatnonzero(rest & (bound > -np.inf))
-                first, scores = np.concatenate([first, rest]), np.concatenate([scores, c[rest] @ q[i]])
-            best = np.lexsort((cid[first], -scores))[:k]
-            found[0].append(np.full(len(best), qid[i]))
-            found[1].append(cid[first][best])
-            found[2].append(scores[best].astype(np.int64))
-    return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if x else [], pa.int64()) for x in found], schema=RESULT)
+def _by_width(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The numbers of the rows of each length, and their matrix."""
+    widths = np.diff(vectors.offsets.to_numpy())
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        yield rows, np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), width)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` highest scores of each row of ``queries`` among ``vectors``
-    (both vec_id, embedding)."""
+def distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    squares = (matrix * matrix).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * matrix @ pivots.T
+    return np.sqrt(np.maximum(squares, 0)).astype(np.float32)
+
+
+def with_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, v, to_pivots. Lengths that have no pivot keep one distance of 0, which eliminates nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.empty(batch.num_rows, object)
+            for rows, matrix in _by_width(batch.column(1)):
+                p = pivots.get(matrix.shape[1])
+                for i, d in zip(rows, np.zeros((len(rows), 1), np.float32) if p is None else distances(matrix, p)):
+                    out[i] = d
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.tolist(), pa.list_(pa.float32()))], ["vec_id", "v", "to_pivots"])
+
+    return vectors.mapInArrow(run, "vec_id long, v array<long>, to_pivots array<float>")
+
+
+class Best:
+    """The best ``k`` of the candidates so far, for each query of one length."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, to_pivots: np.ndarray, k: int):
+        self.ids, self.queries, self.to_pivots, self.k = ids, queries, to_pivots, k
+        self.squares = (queries * queries).sum(1)
+        self.scores = [np.zeros(0)] * len(ids)
+        self.found = [np.zeros(0, np.int64)] * len(ids)
+        self.scored = np.zeros(len(ids), np.int64)
+
+    def look(self, ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray) -> None:
+        squares, columns = (vectors * vectors).sum(1), to_pivots.T.copy()
+        for i in range(len(self.ids)):
+            apart = np.abs(columns - self.to_pivots[i][:, None]).max(0).astype(np.float64)
+            # half a unit is far more than the rounding of the distances
+            bound = (self.squares[i] + squares - apart * apart) / 2 + 0.5
+            live = np.flatnonzero((ids != self.ids[i]) & (bound >= self.least(i)))
+            live = live[np.argsort(-bound[live], kind="stable")]
+            at, step = 0, FIRST
+            while at < len(live) and bound[live[at]] >= self.least(i):
+                some = live[at : at + step]
+                scores, found = np.concatenate([self.scores[i], vectors[some] @ self.queries[i]]), np.concatenate([self.found[i], ids[some]])
+                best = np.lexsort((found, -scores))[: self.k]
+                self.scores[i], self.found[i] = scores[best], found[best]
+                self.scored[i] += len(some)
+                at, step = at + step, 2 * step
+
+    def least(self, i: int) -> float:
+        return self.scores[i][-1] if len(self.scores[i]) == self.k else -np.inf
+
+
+def search(table: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, score: the tasks' best of the candidates in ``table``; and scored, with the first row of a
+    query in a task how many candidates the task scored. Both tables are from ``with_distances``."""
+    spark = table.sparkSession
+    blocks = max(1, math.ceil(asked.count() / block))
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        # about ``block`` rows
+        shared = spark.sparkContext.broadcast(numbered.where(F.col("block") == b).drop("block").toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, Best] = {}
+            own = shared.value
+            if own.num_rows:
+                ids, vectors, pivots = (own.column(c).combine_chunks() for c in ("vec_id", "v", "to_pivots"))
+                for rows, matrix in _by_width(vectors):
+                    held[matrix.shape[1]] = Best(np.asarray(ids)[rows], matrix, np.stack(pivots.take(pa.array(rows)).to_numpy(zero_copy_only=False)), k)
+            for batch in batches:
+                for rows, matrix in _by_width(batch.column(1)):
+                    if best := held.get(matrix.shape[1]):
+                        best.look(np.asarray(batch.column(0))[rows], matrix, np.stack(batch.column(2).take(pa.array(rows)).to_numpy(zero_copy_only=False)))
+            for best in held.values():
+                n = np.array([len(x) for x in best.found])
+                firsts = (np.cumsum(n) - n)[n > 0]
+                scored = np.zeros(n.sum(), np.int64)
+                scored[firsts] = best.scored[n > 0]
+                columns = [np.repeat(best.ids, n), np.concatenate(best.found), np.concatenate(best.scores).astype(np.int64), scored]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score", "scored"])
+
+        part = table.mapInArrow(run, "query_id long, vec_id long, score long, scored long")
+        part = stored(part, "found") if blocks > 1 else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pivot_tables(vectors: DataFrame, queries: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """The stored tables of the candidates and of the queries (both vec_id, embedding)."""
     rows = valid(vectors)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(pivots).collect()  # as many rows as there are pivots
-    # lengths that have no pivot keep one distance of 0, which eliminates nothing
     by_width: dict[int, list[list[int]]] = {}
     for r in chosen:
         by_width.setdefault(len(r.v), []).append(list(r.v))
+    points = {w: np.array(p, np.float64) for w, p in by_width.items()}
+    asked = valid(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return stored(with_distances(rows, points), "pivot-table"), stored(with_distances(asked, points), "queries")
 
-    def distances(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                p = by_width.get(len(v))
-                out.append([0.0] if not p else np.sqrt(((np.array(p, np.float64) - np.array(v, np.float64)) ** 2).sum(1)).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in batch.column(1)], pa.int32()), batch.column(1), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "width", "v", "to_pivots"])
-
-    def with_distances(df: DataFrame) -> DataFrame:
-        return stored(df.mapInArrow(distances, "vec_id long, width int, v array<long>, to_pivots array<double>"), "pivot-table")
-
-    candidates = with_distances(rows)
-    asked = with_distances(valid(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
-    n_blocks = max(1, math.ceil(candidates.count() / CANDIDATE_BLOCK))
-    n_query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-
-    def blocks(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(own_n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))))
-
-    left = blocks(asked, "q_block", n_query_blocks, "c_block", n_blocks)
-    right = blocks(candidates, "c_block", n_blocks, "q_block", n_query_blocks)
-    key = ["width", "q_block", "c_block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score long")
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` highest scores of each row of ``queries`` among ``vectors``
+    (both vec_id, embedding)."""
+    found = search(*pivot_tables(vectors, queries, pivots), k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

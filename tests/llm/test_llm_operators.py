@@ -215,9 +215,7 @@ def test_peeling_says_when_a_sketch_is_too_small(spark):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(pivots, "FIRST", 8)
-    monkeypatch.setattr(pivots, "CANDIDATE_BLOCK", 50)
-    monkeypatch.setattr(pivots, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(pivots.search, "__defaults__", (3,))
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).round(1).tolist(), "c") for i in range(150)] + [(20, [9.0] * 6, "c"), (200, None, "c"), (201, [1.0, None, 1.0, 1.0, 1.0, 1.0], "c"), (202, [float("nan")] * 6, "c"), (203, [float("inf")] * 6, "c"), (None, [1.0] * 6, "c"), (204, [1.0, 2.0], "c"), (205, [], "c"), (60, [0.1] * 6, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
@@ -235,6 +233,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert pivots.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_bounds_stop_the_search_where_vectors_lie_in_groups(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 5
+    rows = [(i, (centres[i % 12] + rng.normal(size=8) * 0.05).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = pivots.search(*pivots.pivot_tables(df, df.where("vec_id % 100 = 0"), 40), 5).groupBy("query_id").agg(F.sum("scored").alias("n")).collect()
+    assert len(found) == 12 and all(5 <= r.n < 1199 for r in found) and sum(r.n for r in found) < 12 * 1199 * 0.8
+
+
 # 9 and 10: licenses and lines
 
 
