@@ -15,7 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WINDOW = 3
+#: A window that occurs more often is dealt out in parts of about so many; tables of such windows up to so many rows
+#: are sent to all tasks.
+PART_ROWS, BROADCAST_ROWS = 1000, 200_000
 #: Lines are joined by this for hashing; it occurs in no line.
 JOINT = "\n"
 
@@ -26,11 +31,16 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # a document is its id and its text; equal rows are told apart by their order within that
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("line")).where(F.size("line") >= window)
     starts = F.sequence(F.lit(0), F.size("line") - window)
-    windows = lines.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(F.col("line"), i + 1, window), JOINT), 256))).alias("at", "window"))
+    windows = lines.select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.unhex(F.sha2(F.array_join(F.slice(F.col("line"), i + 1, window), JOINT), 256)))).alias("at", "window"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("at"))
-    repeated = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = stored(windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "windows")
+    often = repeated.where(F.col("n") > PART_ROWS).select("window", F.ceil(F.col("n") / PART_ROWS).alias("parts"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    spread = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = windows.join(often, "window", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "at"), spread)).drop("parts")
+    firsts = repeated.select("window", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.greatest(F.lit(1), F.when(F.col("n") > PART_ROWS, F.col("n")).otherwise(1) / PART_ROWS)) - 1)).alias("part"))
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    later = windows.join(repeated.select("window", "first"), "window").where(~(here & (F.col("at") == F.col("first.at"))))
+    later = dealt.join(firsts, ["window", "part"]).where(~(here & (F.col("at") == F.col("first.at"))))
     low = F.when(here, F.greatest(F.col("at"), F.col("first.at") + window)).otherwise(F.col("at"))
     spots = later.select("doc_id", "text_hash", low.alias("low"), (F.col("at") + window - 1).alias("high")).where("low <= high")
     # merge touching spots of a document to runs
@@ -50,7 +60,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = keyed.join(covered, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("row_hash") == F.col("_hash")), "left")
     text = F.col("row.text")
     line = F.split(text, "\n")
-    left = F.array_join(F.filter(line, lambda x, i: ~F.exists("_gone", lambda run: (run["low"] <= i) & (i <= run["high"]))), "\n")
+    gone = F.flatten(F.transform("_gone", lambda run: F.sequence(run["low"], run["high"])))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(line) - 1), gone)
+    # the one-element array names the lines, so that the text is split once
+    left = F.element_at(F.transform(F.array(line), lambda lines: F.array_join(F.transform(kept, lambda i: lines[i]), "\n")), 1)
     return joined.select(
         *[(F.when(F.col("_gone").isNull(), text).otherwise(left) if c == "text" else F.col("row")[c]).alias(c) for c in names],
         F.coalesce(F.size(line), F.lit(0)).cast("long").alias("lines_before"),
