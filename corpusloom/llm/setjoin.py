@@ -6,7 +6,7 @@ order; the order used puts frequent shingles last. Those are the inverted lists.
 
 * Index: a list's entries hold set size and position. In the search, a list is cut into blocks by size, and
   a pair of blocks, then a pair of entries, is skipped if sizes or positions leave too small an overlap.
-* Answers: each set is first compared with one leader, the smallest set that shares a list with it. Links to
+* Answers: each set is first compared with one leader, the set of the smallest id that shares a list with it. Links to
   leaders give groups of highly similar sets. The search then takes answers over from the leader: sets
   that are already in one group need no comparison, and two sets whose known distances to their common
   leader differ by more than the threshold allows can't be similar (Jaccard distance is a metric).
@@ -42,6 +42,8 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 18
 CHUNK_BYTES, COUNT_TOGETHER = 500_000, 1_000_000
 #: Longer lists are dealt out in blocks of about this size, a task for each pair of blocks.
 LIST_BLOCK = 4096
+#: Lists that are known to be longer are gathered in parts of about so many entries, each with a leader of its own.
+LIST_PART = 1000
 #: Comparisons with one set that one task makes; tables of up to so many rows are sent to all tasks.
 MEMBERS, BROADCAST_ROWS = 2000, 400_000
 
@@ -123,8 +125,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and ranks (from 1, by rising frequency) of the most frequent shingles."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, sorted, ranks (from 1, by rising frequency) and counts of the most frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -154,43 +156,51 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         left, least = left - powers[power], power
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     top = counts.where(F.floor(F.log2("n") * 4) >= least).toPandas()  # at most MOST_FREQUENT rows
     top = top.sort_values(["n", "shingle"])
     hashes, ranks = top["shingle"].to_numpy(np.int64).view(np.uint64), np.arange(1, len(top) + 1)
     order = np.argsort(hashes)
-    return hashes[order], ranks[order]
+    return hashes[order], ranks[order], top["n"].to_numpy(np.int64)[order]
 
 
-def prefixed_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, s1, s2 (two hashes of the set) and its prefix in the common order."""
+def prefixed_sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n, s1, s2 (two hashes of the set), its prefix in the common order, and in how many parts the list of
+    each shingle of the prefix is dealt out."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ranks = shared.value
+        hashes, ranks, counts = shared.value
+        spread = np.maximum(1, -(-counts // LIST_PART)).astype(np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                n, s1, s2, prefixes = [], [], [], []
+                n, s1, s2, prefixes, parts = [], [], [], [], []
                 for own in shingle_sets(part.column(1).to_pylist()):
                     size = len(own)
                     n.append(size)
                     s1.append(int(_signed(_mix(own + np.uint64(1)).sum(keepdims=True))[0]))
                     s2.append(int(_signed((_mix(own ^ _PLACE[2]) * _PLACE[0]).sum(keepdims=True))[0]))
                     take = size - -(-NUMERATOR * size // DENOMINATOR) + 1 if size else 0
+                    known = np.ones(take, np.int32)
                     if len(hashes) and size:
                         spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                         often = hashes[spot] == own
                         rare = own[~often]
                         if len(rare) < take:
-                            rest = own[often]
-                            rare = np.concatenate([rare, rest[np.argsort(ranks[spot[often]])]])
+                            rest, place = own[often], spot[often]
+                            order = np.argsort(ranks[place])
+                            known[len(rare) :] = spread[place[order]][: take - len(rare)]
+                            rare = np.concatenate([rare, rest[order]])
                         own = rare
                     prefixes.append(_signed(own[:take]))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), ids], ["doc_id", "n", "s1", "s2", "prefix"])
+                    parts.append(known)
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]), pa.int64()))
+                parts = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), ids, parts], ["doc_id", "n", "s1", "s2", "prefix", "parts"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>, parts array<int>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -218,28 +228,29 @@ def _lists(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nda
 
 def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """token, id, n, at, leader: the entries of all lists with two or more sets."""
-    entries = sets.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "token")).select("token", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"))
+    entries = sets.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t")).select(F.col("t.prefix").alias("token"), F.when(F.col("t.parts") > 1, F.pmod(F.xxhash64("id"), F.col("t.parts").cast("long")) + 1).otherwise(0).cast("int").alias("part"), "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # whole batches at once: an entry is kept if a neighbour in order has its token
+        # (and each entry of a list that is in several parts)
         held: list[np.ndarray] | None = None
-        leader_of: tuple[int, int] | None = None
+        leader_of: tuple[int, int, int] | None = None
         schema = ["token", "id", "n", "at", "leader"]
 
         def kept(cols: list[np.ndarray], final: bool) -> pa.RecordBatch:
             nonlocal leader_of
-            token, ids, n_at = cols
-            starts = np.concatenate([[True], token[1:] != token[:-1]])
+            token, part, ids, n_at = cols
+            starts = np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
             group = np.cumsum(starts) - 1
             first = np.flatnonzero(starts)
             sizes = np.bincount(group)
             leader = ids[first]
             many = sizes > 1
-            if leader_of is not None and len(token) and token[0] == leader_of[0]:
-                leader[0], many[0] = leader_of[1], True
-            use = many[group]
+            if leader_of is not None and len(token) and (token[0], part[0]) == leader_of[:2]:
+                leader[0], many[0] = leader_of[2], True
+            use = many[group] | (part > 0)
             if len(token):
-                leader_of = (int(token[-1]), int(leader[-1]))
+                leader_of = (int(token[-1]), int(part[-1]), int(leader[-1]))
             return pa.RecordBatch.from_arrays([pa.array(token[use]), pa.array(ids[use]), pa.array((n_at[use] >> 32).astype(np.int32)), pa.array((n_at[use] & 0xFFFFFFFF).astype(np.int32)), pa.array(leader[group][use])], schema)
 
         for batch in batches:
@@ -252,7 +263,7 @@ def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             # the last entry waits: its list may go on; entries of one list that were passed on keep their leader
             cut = len(now[0]) - 1
             whole = [x[:cut] for x in now]
-            if now[0][cut] == now[0][cut - 1]:
+            if now[0][cut] == now[0][cut - 1] and now[1][cut] == now[1][cut - 1]:
                 probe = kept(now, False)
                 yield probe
                 held = [x[:0] for x in now]
@@ -262,7 +273,7 @@ def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield kept(held, True)
 
-    return entries.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, n int, at int, leader long")
+    return entries.repartition("token", "part").sortWithinPartitions("token", "part", "id").mapInArrow(run, "token long, id long, n int, at int, leader long")
 
 
 def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
