@@ -18,6 +18,8 @@ the id, then by id. Reruns agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Documents of one source and size are ranked in parts of about so many.
 PART_ROWS = 256
-#: Tables of large (source, size) cells up to so many rows are sent to all tasks.
-BROADCAST_CELLS = 200_000
+#: Tables of sources, or of large (source, size) cells, up to so many rows are sent to all tasks.
+BROADCAST_ROWS = 200_000
 #: Sizes of a source are summed up in so many stretches for each doubling, then within them.
 STRETCHES = 16
 #: Newton stops at this relative distance from the targets; a step moves the rate of a mean document by e^2 at most.
@@ -57,6 +59,11 @@ def targets(sources: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", F.coalesce(F.least(cap, F.col("weight") * F.col("water")), cap).alias("target"))
 
 
+def _sent(wanted: DataFrame, each: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """How tables with ``each`` rows a source are joined: they are sent to all tasks if there are few sources."""
+    return F.broadcast if wanted.count() * each <= BROADCAST_ROWS else lambda df: df
+
+
 def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     """s, dual: the values whose rates meet the targets, from cells (s, size, n) and sources (s, target, source_size,
     mean, least). Sizes are taken in units of the source's mean."""
@@ -65,7 +72,7 @@ def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
     # where all documents reach MOST, or where even the shortest ones have shrunk enough
     high = F.when(grow, F.log(F.lit(MOST)) * F.col("mean") / F.col("least") * 1.0001).otherwise(0.0)
     low = F.when(grow, F.lit(0.0)).otherwise(F.log(ratio) * F.col("mean") / F.col("least"))
-    real = wanted.where("target > 0")
+    real, sent = wanted.where("target > 0"), _sent(wanted)
     duals = stored(real.select("s", "target", "mean", low.alias("low"), high.alias("high"), F.when(full, high).otherwise(0.0).alias("dual"), full.alias("done")), "duals")
     for _ in range(MOST_STEPS):
         r = rate(F.col("dual"), F.col("size"), F.col("mean"))
@@ -73,7 +80,7 @@ def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         bend = F.when(r < MOST, words * F.col("size") / F.col("mean")).otherwise(0.0)
         own = ["s", "target", "mean", "low", "high", "dual", "done"]
         exact = lambda x: F.sum(x.cast("decimal(32,6)")).cast("double")
-        tilted = cells.where("size > 0").join(duals, "s").groupBy(*own).agg(exact(words).alias("mass"), exact(bend).alias("bend"))
+        tilted = cells.where("size > 0").join(sent(duals), "s").groupBy(*own).agg(exact(words).alias("mass"), exact(bend).alias("bend"))
         short = F.col("mass") < F.col("target")
         low, high = F.when(short, F.col("dual")).otherwise(F.col("low")), F.when(short, F.col("high")).otherwise(F.col("dual"))
         step = F.greatest(F.lit(-STEP), F.least(F.lit(STEP), (F.col("target") - F.col("mass")) / F.col("bend")))
@@ -108,8 +115,9 @@ def mix(docs: DataFrame) -> DataFrame:
     held = cells.groupBy("s", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     found = targets(held.select("source", "source_size")).select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), "target")
     wanted = stored(held.join(found, "s").select("s", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"), "least"), "targets")
+    sent = _sent(wanted)
     per_source = wanted.join(balance(cells.drop("source"), wanted), "s", "left").select("s", "source_size", "target", "mean", F.coalesce("dual", F.lit(0.0)).alias("dual"))
-    per_cell = cells.join(per_source, "s").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("dual"), F.col("size"), F.col("mean"))).otherwise(F.lit(1.0)))
+    per_cell = cells.join(sent(per_source), "s").withColumn("rate", F.when(F.col("size") > 0, rate(F.col("dual"), F.col("size"), F.col("mean"))).otherwise(F.lit(1.0)))
     per_cell = per_cell.withColumn("units", F.round(F.col("rate") * UNIT).cast("long")).withColumn("stretch", F.floor(F.log2(F.col("size") + 1) * STRETCHES))
     per_cell = stored(per_cell.select("s", "size", "n", "stretch", "source_size", "target", "rate", "units"), "rates")
 
@@ -118,11 +126,11 @@ def mix(docs: DataFrame) -> DataFrame:
     stretches = per_cell.groupBy("s", "stretch").agg(F.sum(F.col("n") * F.col("units")).alias("sum"))
     stretches = stretches.select("s", "stretch", before(Window.partitionBy("s").orderBy("stretch")).alias("base"))
     placed = per_cell.withColumn("sum", F.col("n") * F.col("units")).withColumn("within", before(Window.partitionBy("s", "stretch").orderBy("size")))
-    placed = placed.join(stretches, ["s", "stretch"]).select("s", "size", "source_size", "target", "rate", "units", (F.col("base") + F.col("within")).alias("base"))
+    placed = placed.join(_sent(wanted, 32 * STRETCHES)(stretches), ["s", "stretch"]).select("s", "size", "source_size", "target", "rate", "units", (F.col("base") + F.col("within")).alias("base"))
 
     # and before each document in its cell, large cells in parts
     big = cells.where(F.col("n") > PART_ROWS).select("s", "size", F.ceil(F.col("n") / PART_ROWS).alias("parts"))
-    big = F.broadcast(big) if big.count() <= BROADCAST_CELLS else big
+    big = F.broadcast(big) if big.count() <= BROADCAST_ROWS else big
     dealt = rows.join(big, ["s", "size"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash", "nth"), F.coalesce("parts", F.lit(1).cast("long"))))
     counts = dealt.groupBy("s", "size", "part").agg(F.count("*").alias("n")).withColumn("sum", F.col("n")).withColumn("earlier", before(Window.partitionBy("s", "size").orderBy("part")))
     offsets = counts.join(placed, ["s", "size"]).select("s", "size", "part", "source_size", "target", "rate", "units", (F.col("base") + F.col("earlier") * F.col("units")).alias("base"))
@@ -134,7 +142,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
     # what is missing or too much in a source, taken up by single copies, large sizes first
     missing = rounded.groupBy("s", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("has")).select("s", (F.col("target") - F.col("has")).alias("missing"))
-    able = rounded.where("size > 0").join(missing, "s").where(((F.col("missing") > 0) & (F.col("copies") < MOST)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
+    able = rounded.where("size > 0").join(sent(missing), "s").where(((F.col("missing") > 0) & (F.col("copies") < MOST)) | ((F.col("missing") < 0) & (F.col("copies") > 0)))
     choices = able.groupBy("s", "missing", F.floor(F.log2("size")).alias("power")).agg(F.min(F.struct("size", F.xxhash64("doc_id").alias("h"), "doc_id", "text_hash", "nth")).alias("c"))
     folded = choices.groupBy("s", "missing").agg(F.sort_array(F.collect_list("c"), asc=False).alias("c"))
     left = lambda acc: acc["left"]
@@ -142,7 +150,7 @@ def mix(docs: DataFrame) -> DataFrame:
     start = F.struct(F.abs("missing").alias("left"), F.array().cast(took).alias("took"))
     fold = F.aggregate("c", start, lambda acc, c: F.when(c["size"] <= left(acc) + 0.5, F.struct((left(acc) - c["size"]).alias("left"), F.concat(acc["took"], F.array(c)).alias("took"))).otherwise(acc))
     change = folded.select("s", F.explode(fold["took"]).alias("t"), F.signum("missing").cast("long").alias("change")).select(*[(F.col("s") if k == "s" else F.col(f"t.{k}")).alias(f"_{k}") for k in KEY], F.col("t.doc_id").alias("_id"), "change")
-    final = rounded.join(change, _same(change), "left")
+    final = rounded.join(_sent(wanted, 64)(change), _same(change), "left")
     copies = F.col("copies") + F.coalesce("change", F.lit(0))
     return final.select("doc_id", *KEY, "source", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -71,6 +71,7 @@ def test_join_finds_all_components(spark, monkeypatch, block):
     monkeypatch.setattr(setjoin, "LIST_BLOCK", block)
     monkeypatch.setattr(setjoin, "FREQUENT", 3)
     monkeypatch.setattr(setjoin, "MEMBERS", 3)
+    monkeypatch.setattr(setjoin, "LIST_PART", block // 2)
     rows = near_copies()
     got = setjoin.join(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
@@ -267,7 +268,10 @@ def brute_lines(rows):
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("rows_of_a_part, limit", [(1000, 200_000), (1, 200_000), (2, 0)])
+def test_lines(spark, monkeypatch, rows_of_a_part, limit):
+    monkeypatch.setattr(lines, "PART_ROWS", rows_of_a_part)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", limit)
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))) for i in range(80)] + [(500, "q\n" * 9), (501, "q\n" * 4)]
     out = lines.dedup_lines(frame(spark, rows))
