@@ -1,12 +1,14 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-``P(grade > k) = sigmoid(w . x - threshold_k)``: one weight per word for all thresholds, which rise. The
-features are log(1 + count) of the words that occur significantly more often in documents labelled toxic.
-They have to be significant over all texts, and also where a word counts only in a text that is the only one, or
-taken as the only one, to have it after some words and before some words: near copies of a text count once.
-Grades of labelled documents: 0 is clean; toxic ones have grade 1, 2 or 3 by the third of the toxic
-documents that their number of such words falls in (1 without any). The model is fitted on at most
-``max_rows`` distinct labelled texts, by smallest hash of the id; every document is then scored whole.
+``P(grade > k) = sigmoid(w . x - threshold_k)``: one weight per feature for all thresholds, which rise. The
+features are log(1 + count) of the words, and of the beginnings of words (``PREFIXES`` letters), that occur
+significantly more often in documents labelled toxic. They have to be significant over all texts, and also where a
+word counts only in a text that is the only one, or taken as the only one, to have it after some words and before
+some words: near copies of a text count once.
+Labels say only whether a document is toxic, so the grades above 0 are an assumption: grade 0 is clean; toxic ones
+have grade 1, 2 or 3 by the third of the toxic documents that their number of such features falls in (1 without any).
+The model is fitted on at most ``max_rows`` distinct labelled texts, by smallest hash of the id; every document is
+then scored whole.
 
 Defined results: a null or empty text has no features, hence the severity of a text without such words;
 labels that are null are not used, of several labels of an id the highest counts; without toxic labels
@@ -15,8 +17,9 @@ nothing is toxic; rows that repeat are each scored; ids may be null. Other colum
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,23 +37,46 @@ LEAST_G2 = 16.0
 #: So many words before it, and so many after it, make a word's places.
 BESIDE = 5
 REJECT = 0.5
+#: Beginnings of words that are features too, if the word is longer.
+PREFIXES = (3, 5, 7)
+#: Words whose features a worker remembers.
+REMEMBERED = 300_000
 TERM = r"\p{L}+"
 _term = re.compile(r"[^\W\d_]+")
 
 
+class Features(dict):
+    """word -> its features that have a weight."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = tuple(f for f in (word, *("^" + word[:k] for k in PREFIXES if len(word) > k)) if f in self.weights)
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     thresholds: list[float]
 
+    def all_above(self, texts: Iterable[str | None]) -> np.ndarray:
+        """P(grade > k) for k = 0, 1, ... of each text."""
+        features, scores = Features(self.weights), []
+        for text in texts:
+            counts: dict[str, int] = {}
+            for found in filter(None, map(features.__getitem__, _term.findall((text or "").lower()))):
+                for f in found:
+                    counts[f] = counts.get(f, 0) + 1
+            scores.append(sum(self.weights[f] * math.log1p(n) for f, n in counts.items()))
+        return 1 / (1 + np.exp(np.array(self.thresholds)[None] - np.array(scores, float).reshape(-1, 1)))
+
     def above(self, text: str | None) -> np.ndarray:
-        """P(grade > k) for k = 0, 1, ..."""
-        counts: dict[str, int] = {}
-        for w in _term.findall((text or "").lower()):
-            if w in self.weights:
-                counts[w] = counts.get(w, 0) + 1
-        score = sum(self.weights[w] * np.log1p(n) for w, n in counts.items())
-        return 1 / (1 + np.exp(np.array(self.thresholds) - score))
+        return self.all_above([text])[0]
 
 
 class Sparse:
@@ -117,23 +143,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         return Model({}, [50.0] * (GRADES - 1))
 
     def significant(pairs: DataFrame) -> list[str]:
-        """From w, toxic of every text that a word is in."""
+        """From w, toxic of every text that a feature is in; a beginning that is in no other texts than one of its
+        words, or than a longer beginning, says nothing new."""
         words = pairs.groupBy("w").agg(F.sum("toxic").alias("a"), F.count("*").alias("t")).where("a > 1")
         a, t = F.col("a").cast("double"), F.col("t").cast("double")
         log0 = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         g2 = 2 * (log0(a, t * (bad / n)) + log0(t - a, t * (1 - bad / n)) + log0(bad - a, (n - t) * (bad / n)) + log0((n - t) - (bad - a), (n - t) * (1 - bad / n)))
         chosen = words.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / t > bad / n))
-        return [r["w"] for r in chosen.orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect()]
+        kept, covered = [], set()
+        for r in sorted(chosen.orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect(), key=lambda r: (r["w"][0] == "^", -len(r["w"]), r["w"])):
+            word = r["w"].removeprefix("^")
+            if word == r["w"] or (word, r["t"]) not in covered:
+                kept.append(r["w"])
+                covered |= {(word[:k], r["t"]) for k in PREFIXES if len(word) > k}
+        return kept
+
+    def features_of(word: Column) -> Column:
+        return F.array_compact(F.array(word, *[F.when(F.length(word) > k, F.concat(F.lit("^"), F.left(word, F.lit(k)))) for k in PREFIXES]))
 
     listed = lambda words: F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "w string"))
-    first = significant(texts.select("toxic", F.explode(F.array_distinct("terms")).alias("w")))
-    # The words from BESIDE before to a word, and from it to BESIDE after, are its places (at the ends of a text, as
-    # many words that hold it). One that several texts have is that of one of them, a toxic one if there is one:
+    in_text = F.array_distinct(F.flatten(F.transform(F.array_distinct("terms"), features_of)))
+    first = significant(texts.select("toxic", F.explode(in_text).alias("w")))
+    # The BESIDE words before a word, and those after it, are its places (at the ends of a text, as
+    # many words on both sides). One that several texts have is that of one of them, a toxic one if there is one:
     # toxic texts have negative numbers.
     number = F.shiftrightunsigned("text_hash", 1).bitwiseOR(F.when(F.col("toxic") > 0, F.lit(-(2**63))).otherwise(F.lit(0)))
-    run = lambda i: F.xxhash64(F.slice("terms", F.greatest(i, F.lit(1)), BESIDE + 1))
-    places_of = F.transform("terms", lambda w, i: F.struct(w.alias("w"), F.array(run(i + 1 - BESIDE), run(F.least(i + 1, F.size("terms") - BESIDE))).alias("places")))
-    places = texts.select(number.alias("number"), F.explode(places_of).alias("at")).select("number", "at.*").join(listed(first), "w")
+    def around(i: Column, start: Column) -> Column:
+        """The BESIDE words beside word i from ``start`` on."""
+        start = F.greatest(start, F.lit(1))
+        return F.xxhash64(F.slice("terms", start, i - start), F.slice("terms", i + 1, start + BESIDE - i))
+
+    places_of = F.transform("terms", lambda w, i: F.struct(w.alias("w"), F.array(around(i + 1, i + 1 - BESIDE), around(i + 1, F.least(i + 1, F.size("terms") - BESIDE))).alias("places")))
+    places = texts.select(number.alias("number"), F.explode(places_of).alias("at")).select("number", F.explode(features_of(F.col("at.w"))).alias("w"), "at.places").join(listed(first), "w")
     owned = places.select("number", "w", F.posexplode("places").alias("side", "place")).groupBy("w", "side", "place").agg(F.min("number").alias("number"))
     own = owned.groupBy("w", "number").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low < high")
     vocabulary = significant(own.select("w", (F.col("number") < 0).cast("int").alias("toxic")))
@@ -141,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         return Model({}, [50.0] * (GRADES - 1))
     place = {w: i for i, w in enumerate(vocabulary)}
     # only the feature words of at most max_rows texts come to the driver, and one count of the rows without any
-    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).join(listed(vocabulary), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
+    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).select("text_hash", "toxic", F.explode(features_of(F.col("w"))).alias("w")).join(listed(vocabulary), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
     cells = found.toPandas().sort_values(["text_hash", "w"])
     held = cells.drop_duplicates("text_hash")
     all_of = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -166,7 +207,7 @@ def severity(model: Model, text: Column) -> Column:
     @F.pandas_udf("p_toxic double, severity double, grade int")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            above = np.stack([model.above(t) for t in texts]) if len(texts) else np.zeros((0, GRADES - 1))
+            above = model.all_above(texts)
             each = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1), axis=1)
             yield pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(1), "grade": each.argmax(1).astype("int32")})
 
@@ -174,7 +215,8 @@ def severity(model: Model, text: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_toxic, severity, grade, rejected of every row."""
+    """doc_id, p_toxic, severity (the expected grade), grade, rejected of every row. Grades above 0 are ordered by an
+    assumption, see above."""
     s = docs.select("doc_id", severity(fit(docs, labels), F.col("text")).alias("s")).select("doc_id", "s.*")
     return s.withColumn("rejected", F.col("p_toxic") >= REJECT)
 

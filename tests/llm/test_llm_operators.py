@@ -414,6 +414,30 @@ def test_toxicity_on_held_out_rows(spark):
     assert mild < harsh
 
 
+def test_beginnings_of_words_are_features(spark):
+    rows, labels = toxic_rows(300, 5)
+    rng = random.Random(9)
+    for i in range(60):  # each toxic word is in one text, but they begin alike
+        noise = [f"w{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}" for _ in range(30)]
+        rows.append((1000 + i, " ".join([*noise, "badly" + "".join(rng.choice("abcdefghij") for _ in range(5)), *noise[:9]]), "s"))
+        labels.append((1000 + i, 1))
+    model = ordinal.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "^badly" in model.weights and model.above("some badlyzzz here")[0] >= ordinal.REJECT > model.above("some bad here")[0]
+    assert np.allclose(model.all_above(["vile badlyz", None, ""]), [model.above(t) for t in ("vile badlyz", None, "")])
+
+
+def test_held_out_labels_of_the_table(spark, small):
+    folder = f"{small.rsplit('/', 1)[0]}/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    # near copies mostly begin alike, and so are in the same half
+    half = docs.select("doc_id", F.pmod(F.xxhash64(F.substring("text", 1, 60)), F.lit(2)).alias("half"))
+    known = labels.select("doc_id", "toxic").join(half, "doc_id")
+    model = ordinal.fit(docs, known.where("half = 0"))
+    others = docs.join(known.where("half = 1"), "doc_id").select("text", "toxic").toPandas()
+    rejected, toxic = model.all_above(others["text"])[:, 0] >= ordinal.REJECT, others["toxic"].to_numpy() == 1
+    assert toxic.sum() > 150 and rejected[toxic].mean() > 0.88 and rejected[~toxic].mean() < 0.01
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     x, y, n = rng.random((30, 3)), rng.integers(0, 4, 30), rng.random(30)
@@ -442,7 +466,7 @@ def test_seldom_toxic_words_count_and_near_copies_do_not(spark):
     rows, labels = toxic_rows(600, 4)
     rng = random.Random(6)
     for i in range(12):
-        noise = [f"x{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}" for _ in range(30)]
+        noise = [f"{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}x" for _ in range(30)]
         rows.append((1000 + i, " ".join(noise[:15] + ["vermin"] + noise[15:]), "s"))
         rows.append((2000 + i, " ".join(f"copied{'abcdefghijklmnopqrst'[k]}" for k in range(20)) + " end" + "abcdefghijkl"[i], "s"))
         labels += [(1000 + i, 1), (2000 + i, 1)]
