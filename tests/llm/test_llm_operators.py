@@ -208,10 +208,42 @@ def test_peeling_says_when_a_sketch_is_too_small(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64(i)).alias("k"))
     none = F.array().cast("array<bigint>")
     small = iblt.peel(iblt.subtract(iblt.sketch(F.col("k")), iblt.sketch(none)))
-    r = df.select(small.alias("small"), iblt.differing(F.col("k"), none).alias("all")).first()
+    r = df.select(small.alias("small"), F.size(iblt.differing(F.col("k"), none)).alias("all")).first()
     assert r.small is None and r["all"] == 200
 
 
+def test_the_digests_that_differ_are_recovered(spark):
+    rng = random.Random(7)
+    texts = [["\n".join(f"line {rng.randrange(40)} of {n}" for _ in range(n)) for n in (k, k + 1)] for k in (0, 1, 3, 20, 90, 900)]
+    # two pairs of digests that share the places in all but the last sketch
+    near = [(5, 5 | 1 << 40), (9 << 27, 9 << 27 | 1 << 50)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(texts)], "i int, a string, b string")
+    for r in df.select("a", "b", iblt.digests(F.col("a")).alias("x"), iblt.digests(F.col("b")).alias("y")).withColumn("d", iblt.recovered(F.col("x"), F.col("y"))).collect():
+        want = {(1, k) for k in set(r.x) - set(r.y)} | {(-1, k) for k in set(r.y) - set(r.x)}
+        assert {(d.n, d.x) for d in r.d} == want and len(r.d) == len(want)
+    df = spark.createDataFrame([(list(p), []) for p in near], "x array<bigint>, y array<bigint>")
+    for r in df.withColumn("d", iblt.recovered(F.col("x"), F.col("y"))).collect():
+        assert sorted(d.x for d in r.d) == sorted(r.x)
+
+
+@pytest.mark.parametrize("rows_of_one_id, nulls", [(0, 0), (700, 0), (300, 500)])
+def test_ranges_are_small_and_keep_the_order(spark, monkeypatch, rows_of_one_id, nulls):
+    monkeypatch.setattr(iblt, "RANGE_BYTES", 100)
+    monkeypatch.setattr(iblt, "RANGES", 16)
+    rng = random.Random(10)
+    ids = [rng.randrange(10**12) if i % 5 else rng.randrange(50) for i in range(400)] + [777] * rows_of_one_id + [None] * nulls
+    rows = [(i, f"text {k} of some length", "s") for k, i in enumerate(ids)]
+    got = iblt.ranged(frame(spark, rows)).collect()
+    order = sorted(got, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.order))
+    assert [r.bucket for r in order] == sorted((r.bucket for r in got), reverse=True)
+    held = {}
+    for r in got:
+        held[r.bucket] = held.get(r.bucket, 0) + 1
+    assert max(held.values()) < 120
+    after = {r.text: r.next_text for r in iblt.with_next(frame(spark, rows)).collect()}
+    assert after == {r.text: x.text for r, x in zip(order, order[1:] + order[:1])}
+
+
 # 8: top-k
 
 
