@@ -38,6 +38,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+#: md5 numbers of words, for all batches of a worker; emptied beyond so many.
+_numbers: dict[str, int] = {}
+REMEMBERED = 500_000
+
+
 class HashedEmbedder:
     """Offline default: counts of words in md5 buckets, scaled to length 1."""
 
@@ -45,12 +50,18 @@ class HashedEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out, place = np.zeros((len(texts), self.dim)), {}
+        out = np.zeros((len(texts), self.dim))
+        if len(_numbers) > REMEMBERED:
+            _numbers.clear()
         for i, text in enumerate(texts):
+            numbers = []
             for word in re.findall(r"[^\s.,;:!?|]+", (text or "").lower()):
-                if word not in place:
-                    place[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-                out[i, place[word]] += 1
+                n = _numbers.get(word)
+                if n is None:
+                    n = _numbers[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                numbers.append(n % self.dim)
+            if numbers:
+                out[i] = np.bincount(numbers, minlength=self.dim)
         length = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(length == 0, 1, length)
 

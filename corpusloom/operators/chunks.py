@@ -24,14 +24,22 @@ def structural(docs: DataFrame, size: int = 1500, overlap: int = 400, text: str
     return docs.select(*keep, kind, F.posexplode(structural_chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
 
 
-def parents_and_children(docs: DataFrame, parent_size: int = 2500, child_size: int = 800, child_overlap: int = 200, text: str = "text") -> DataFrame:
+PARENT_CHARS, CHILD_CHARS, CHILD_OVERLAP = 2500, 800, 200
+
+
+def parents(docs: DataFrame, parent_size: int = PARENT_CHARS, text: str = "text") -> DataFrame:
+    """One row per parent: parent_index, parent."""
+    keep = [c for c in docs.columns if c != text]
+    return docs.select(*keep, F.posexplode(sliding_windows(F.col(text), parent_size, 0)).alias("parent_index", "parent"))
+
+
+def parents_and_children(docs: DataFrame, parent_size: int = PARENT_CHARS, child_size: int = CHILD_CHARS, child_overlap: int = CHILD_OVERLAP, text: str = "text") -> DataFrame:
     """One row per child: parent_index, parent, child_index (over all children of the document), child."""
     keep = [c for c in docs.columns if c != text]
-    parents = docs.select(*keep, F.posexplode(sliding_windows(F.col(text), parent_size, 0)).alias("parent_index", "parent"))
     # earlier parents are full, so the number of their children is known
     step = child_size - child_overlap
     each = 1 if parent_size <= child_size else -(-parent_size // step)
-    children = parents.select(*keep, "parent_index", "parent", F.posexplode(sliding_windows(F.col("parent"), child_size, child_overlap)).alias("at", "child"))
+    children = parents(docs, parent_size, text).select(*keep, "parent_index", "parent", F.posexplode(sliding_windows(F.col("parent"), child_size, child_overlap)).alias("at", "child"))
     return children.withColumn("child_index", F.col("parent_index") * each + F.col("at")).drop("at")
 
 

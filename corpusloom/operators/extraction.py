@@ -26,9 +26,12 @@ def fields(domain: str) -> list[str]:
     return FIELDS.get(domain, FIELDS["tourisme"])
 
 
+def prompt_head(domain: str) -> str:
+    return f"Donner en JSON les champs {', '.join(fields(domain))} du document; null si le document ne dit rien; dates AAAA-MM-JJ.\n\n"
+
+
 def prompt(text: Column, domain: str) -> Column:
-    asked = f"Donner en JSON les champs {', '.join(fields(domain))} du document; null si le document ne dit rien; dates AAAA-MM-JJ.\n\n"
-    return F.concat(F.lit(asked), F.left(text, F.lit(HEAD)))
+    return F.concat(F.lit(prompt_head(domain)), F.left(text, F.lit(HEAD)))
 
 
 def validated(meta: Column, domain: str) -> Column:

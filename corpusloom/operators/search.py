@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,17 +18,21 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "l2_sq
     """query_id, rank, the columns of ``vectors`` but the embedding, distance: the ``k`` nearest rows of
     ``vectors`` (id, embedding, ...) for each of ``questions`` (query_id, query); ties go to the smaller id.
 
-    Each block of questions is broadcast to the vectors; a ranking window cuts each task's rows to ``k``
-    before the shuffle.
+    Block by block, about QUESTION_BLOCK questions are broadcast to the vectors, which stay where they are; a ranking
+    window cuts each task's rows to ``k`` a question before the shuffle.
     """
     blocks = max(1, math.ceil(questions.count() / QUESTION_BLOCK))
-    asked = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    here = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    numbered = questions.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     d = distance(F.col("embedding"), F.col("query"), metric)
-    pairs = here.join(F.broadcast(asked) if blocks == 1 else asked, "_block").withColumn("distance", d if digits is None else F.round(d, digits))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", *[c for c in vectors.columns if c != "embedding"], "distance")
+
+    def of_block(b: int) -> DataFrame:
+        asked = F.broadcast(numbered.where(F.col("_block") == b))
+        pairs = vectors.withColumn("_block", F.lit(b).cast("long")).join(asked, "_block").withColumn("distance", d if digits is None else F.round(d, digits))
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", *[c for c in vectors.columns if c != "embedding"], "distance")
+
+    return reduce(DataFrame.unionByName, map(of_block, range(blocks)))
 
 
 def within(results: DataFrame, most: float = 1.2) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata, text
 from ..functions.vectors import HashedEmbedder, embed
-from ..operators import chunks, context, pdf, search
+from ..operators import chunks, context, extraction, pdf, search
 from ..sources import markup
 
 QUESTION = "the answer to a question of the house"
@@ -116,6 +118,19 @@ def enriched_chunks(spark, sf_dir):
     return docs.select("doc_id", metadata.enriched(F.col("text"), meta, F.col("section"), "legal").alias("chunk"))
 
 
+def enriched_by_domain(spark, sf_dir):
+    """Domains without a reference prefix, and one with it."""
+    docs = _meta_docs(spark, sf_dir)
+    meta = {"reference_complete": F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Réf. "), "source")), "juridiction": F.col("source"), "dispositif": metadata.outcome(F.col("verdict"))}
+    each = [F.struct(F.lit(d).alias("domain"), metadata.enriched(F.col("text"), meta, F.col("section"), d).alias("chunk")) for d in (*metadata.NO_REFERENCE, "technique")]
+    return docs.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.domain", "x.chunk")
+
+
+BY_DOMAIN_SQL = f"""
+with d as (select *, case when lang = 'fr' then 'motifs' when lang = 'de' then 'historique' else 'general' end as section, case doc_id % 3 when 0 then 'Rejet' when 1 then null else 'Autre' end as verdict from documents),
+p as (select doc_id, text, domain, concat_ws(' | ', case when domain = 'technique' then case when doc_id % 2 = 0 then 'Réf. ' || source else source end end, 'Résultat: ' || verdict, case when section <> 'general' then 'Section: ' || section end) as prefix from d, (select unnest({[*metadata.NO_REFERENCE, "technique"]}) as domain))
+select doc_id, domain, case when prefix = '' then text else '[' || prefix || ']' || chr(10) || chr(10) || text end as chunk from p
+"""
 ENRICHED_SQL = """
 with d as (select *, case when lang = 'fr' then 'motifs' when lang = 'de' then 'historique' else 'general' end as section, case doc_id % 3 when 0 then 'Rejet' when 1 then null else 'Autre' end as verdict from documents),
 p as (select doc_id, text, concat_ws(' | ', case when doc_id % 5 <> 0 then source || case when doc_id % 2 = 0 then ', 2024-03-15' else '' end end, 'Résultat: ' || verdict, case when section <> 'general' then 'Section: ' || section end) as prefix from d)
@@ -224,6 +239,75 @@ def json_props(spark, sf_dir):
     return events.select("event_id", markup.flatten_json(F.col("props")).alias("f")).select("event_id", F.to_json("f.metadata").alias("metadata"), F.col("f.content").alias("content"))
 
 
+PROPS_SQL = """select event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' as metadata, '' as content from events"""
+
+
+def json_documents(spark, sf_dir):
+    """Each document as a JSON file, flattened: an id, a flag, a date, a list, a nested object and a text."""
+    docs = _t(spark, sf_dir, "documents")
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
+    inner = F.struct(F.col("n_chars").alias("size"), F.concat(F.lit("a text of "), "source").alias("what_it_is"))
+    data = F.struct(F.col("doc_id").cast("string").alias("ref_no"), (F.col("doc_id") % 2 == 0).alias("ok"), F.lit("2024-03-15").alias("day"), F.array("lang", "source").alias("tags"), inner.alias("more"), F.concat(F.lit("x "), plain).alias("body"))
+    flat = docs.select("doc_id", markup.flatten_json(F.to_json(data)).alias("f"))
+    m = lambda key: F.col("f.metadata")[key]
+    return flat.select("doc_id", F.col("f.content").alias("content"), *[m(k).alias(k.replace(".", "_")) for k in ("ref_no", "ok", "day", "tags_count", "more.size", "more.what_it_is_short", "body_short")])
+
+
+JSON_SQL = """
+with d as (select *, 'x ' || regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g') as body from documents)
+select doc_id, 'Day: 15 mars 2024' || chr(10) || 'Tags: ' || lang || ', ' || source || chr(10) || chr(10) || 'More:' || chr(10) || 'What It Is: a text of ' || source || chr(10) || 'Body: ' || body as content,
+  doc_id::varchar as ref_no, case when doc_id % 2 = 0 then 'True' else 'False' end as ok, '2024-03-15' as day, '2' as tags_count, n_chars::varchar as more_size, 'a text of ' || source as more_what_it_is_short, case when length(body) < 100 then body end as body_short from d
+"""
+
+
+def xml_documents(spark, sf_dir):
+    """Each document as an XML file, flattened."""
+    docs = _t(spark, sf_dir, "documents")
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
+    data = F.concat(F.lit('<doc lang="'), "lang", F.lit('"><reference>R '), F.col("doc_id").cast("string"), F.lit("</reference><date>1999</date><Date> 2024 </Date><p>"), plain, F.lit(" <b>"), "lang", F.lit("</b> lost</p><note>"), "source", F.lit("</note></doc>"))
+    flat = docs.select("doc_id", markup.flatten_xml(data).alias("f"))
+    return flat.select("doc_id", F.to_json("f.metadata").alias("metadata"), F.col("f.content").alias("content"))
+
+
+XML_SQL = """
+with d as (select *, trim(regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g')) as p from documents)
+select doc_id, '{"reference":"R ' || doc_id || '","date":"2024","attr_lang":"' || lang || '"}' as metadata, case when p <> '' then p || chr(10) else '' end || '[b]: ' || lang || chr(10) || '[note]: ' || source as content from d
+"""
+
+
+class _TestModel:
+    """Answers with a JSON object that depends on the length of the prompt."""
+
+    def answer(self, prompts: list[str]) -> list[str]:
+        dates = ["2024-03-15", "2024-13-01", "20240315"]
+        return [json.dumps({"date_decision": dates[len(p) % 3], "vote_resultat": "ADOPTE" if len(p) % 2 else "autre", "objet": p[-3:] if p[-3:].isalpha() else None}) for p in prompts]
+
+
+def extracted_metadata(spark, sf_dir):
+    found = extraction.extract(_docs(spark, sf_dir), "municipal", _TestModel())
+    return found.select("doc_id", *[F.col("extracted")[k].alias(k) for k in ("date_decision", "annee_decision", "vote_resultat")])
+
+
+EXTRACTED_SQL = f"""
+with p as (select doc_id, {len(extraction.prompt_head("municipal"))} + least(length(text), {extraction.HEAD}) as n from documents)
+select doc_id, case n % 3 when 0 then '2024-03-15' when 2 then '20240315' end as date_decision, case when n % 3 <> 1 then '2024' end as annee_decision, case when n % 2 = 1 then 'Adopté' else 'autre' end as vote_resultat from p
+"""
+
+
+def domain_prompts(spark, sf_dir):
+    """The prompt of every domain, and of an unknown one."""
+    docs = _docs(spark, sf_dir)
+    each = [F.struct(F.lit(d).alias("domain"), context.prompt(F.left("text", F.lit(40)), F.col("doc_id").cast("string"), d).alias("prompt")) for d in (*context.ROLES, "other")]
+    return docs.select("doc_id", F.explode(F.array(*each)).alias("x")).select("doc_id", "x.domain", "x.prompt")
+
+
+_ROLES_SQL = ", ".join(f"('{d}', '{context.ROLES.get(d, context.ROLES['tourisme'])}')" for d in (*context.ROLES, "other"))
+PROMPTS_SQL = f"""
+select doc_id, domain, 'Assistant spécialisé ' || role || '. Répondre avec les seuls passages ci-dessous, sans rien inventer, en citant la source; sinon dire que l''information manque.' || chr(10) || chr(10) || '## Passages' || chr(10) || doc_id || chr(10) || chr(10) || '## Question' || chr(10) || substr(text, 1, 40) as prompt
+from documents, (values {_ROLES_SQL}) r(domain, role)
+"""
+
+
 # paged text
 
 
@@ -413,7 +497,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, source_contains,
-        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
+        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
         vector_topk, vector_topk_batch, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval,
     )
 }
@@ -435,6 +519,12 @@ ORACLES = {
     "french_dates": FRENCH_SQL,
     "iso_date_check": ISO_SQL,
     "key_labels": LABELS_SQL,
+    "json_props": PROPS_SQL,
+    "json_documents": JSON_SQL,
+    "xml_documents": XML_SQL,
+    "extracted_metadata": EXTRACTED_SQL,
+    "domain_prompts": PROMPTS_SQL,
+    "enriched_by_domain": BY_DOMAIN_SQL,
     "repeated_lines": REPEATED_SQL,
     "line_cleanup": CLEANUP_SQL,
     "page_layouts": LAYOUTS_SQL,
@@ -449,5 +539,6 @@ ORACLES = {
     "hashed_text_search": TEXT_SQL + "select query_id, rank, id, source_file, document, distance from top",
     "context_string": CONTEXT_SQL + "select query_id, context from ctx",
     "prompt_string": CONTEXT_SQL + f"select query_id, '{_RULES}' || chr(10) || chr(10) || '## Passages' || chr(10) || context || chr(10) || chr(10) || '## Question' || chr(10) || '{QUESTION}' as prompt from ctx",
+    "extractive_answers": TEXT_SQL + "select query_id, document as answer from top where rank = 1 and distance <= 1.9",
     "rag_lexical_eval": EVAL_SQL,
 }

@@ -1,7 +1,11 @@
-"""Ingestion and questions end to end, in one lazy plan for all documents or all questions."""
+"""Ingestion and questions end to end, in one plan for all documents or all questions."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ def with_metadata(loaded: DataFrame, domain: str, now: str) -> DataFrame:
     known = F.when(kind.isin("xml", "json"), get("date"))
     xml = lambda key: F.when(kind == "xml", get(key))
     docs = loaded.where("error is null and raw_text <> ''").withColumn("document_id", chunks.document_id(kind, F.col("path"), F.col("content_hash")))
-    fields = {
+    own = {
         "document_id": F.col("document_id"),
         "source_file": F.col("source_file"),
         "source_type": kind,
@@ -34,7 +38,8 @@ def with_metadata(loaded: DataFrame, domain: str, now: str) -> DataFrame:
         "date_ingestion": F.lit(now),
         "parties": F.lit(None).cast("array<string>"),
     }
-    stored = metadata.stringified({k: (c, "array<string>" if k == "parties" else "string") for k, c in fields.items()})
+    none = F.lit(None).cast("string")
+    stored = metadata.stringified({k: (own.get(k, none), "array<string>" if k == "parties" else "string") for k in metadata.FIELDS})
     return docs.select("document_id", "source_file", F.lit(domain).alias("domain"), F.col("raw_text").alias("text"), stored.alias("metadata"))
 
 
@@ -47,32 +52,54 @@ class Engine:
         self.chunks = Collection(spark, collection, CHUNKS)
         self.parents = Collection(spark, f"{collection}_parents", PARENTS)
         self.children = Collection(spark, f"{collection}_children", CHILDREN)
+        self.errors = Collection(spark, f"{collection}_errors", "path string, error string")
 
     @property
     def active(self) -> Collection:
         return self.children if self.mode == "parent-child" else self.chunks
 
     def reset(self) -> None:
-        for c in (self.chunks, self.parents, self.children):
+        for c in (self.chunks, self.parents, self.children, self.errors):
             c.reset()
 
+    def _stored(self, rows: DataFrame, schema: str) -> Collection:
+        table = Collection(self.spark, f"{self.chunks.name}_{uuid.uuid4().hex[:12]}", schema)
+        table.add(rows)
+        return table
+
+    @contextmanager
+    def loaded(self, found: DataFrame) -> Iterator[DataFrame]:
+        """The files of a scan, read and parsed once, in a table that is dropped in the end."""
+        used = []
+        try:
+            if self.parser is not None:
+                used.append(self._stored(files.pdf_blocks(found, self.parser), files.BLOCKS))
+            used.append(self._stored(files.load(found, *[t.rows() for t in used]), files.LOADED))
+            yield used[-1].rows()
+        finally:
+            for table in used:
+                table.drop()
+
     def ingest_corpus(self, folder: str, force: bool = False, now: str = "") -> DataFrame:
         """Load and index a folder unless the collection has rows; ``force`` empties it first. Returns the files
-        that could not be read (path, error)."""
+        that could not be read (path, error) when it was loaded."""
         if force:
             self.reset()
-        loaded = files.load(files.scan(self.spark, folder), self.parser)
         if not self.active.populated():
-            self.ingest(with_metadata(loaded, self.domain, now))
-        return loaded.where("error is not null").select("path", "error")
+            self.errors.reset()
+            with self.loaded(files.scan(self.spark, folder)) as loaded:
+                self.ingest(with_metadata(loaded, self.domain, now))
+                self.errors.add(loaded.where("error is not null"))
+        return self.errors.rows()
 
     def ingest(self, docs: DataFrame, enrich: bool = False) -> None:
         """Index documents (document_id, source_file, domain, text, metadata) that the collection doesn't have."""
         new = self.active.missing(docs)
         if self.mode == "parent-child":
-            cut = chunks.parents_and_children(new).withColumn("parent_id", F.concat_ws("_", F.lit("parent"), "document_id", F.col("parent_index").cast("string")))
+            parent_id = F.concat_ws("_", F.lit("parent"), "document_id", F.col("parent_index").cast("string"))
+            cut = chunks.parents_and_children(new).withColumn("parent_id", parent_id)
             small = cut.select(F.concat_ws("_", F.lit("child"), "document_id", F.col("child_index").cast("string")).alias("id"), "parent_id", "document_id", "source_file", F.col("child").alias("document"), F.map_concat("metadata", F.create_map(F.lit("parent_id"), F.col("parent_id"), F.lit("chunk_type"), F.lit("child"))).alias("metadata"), embed(F.col("child"), self.embedder).alias("embedding"))
-            self.parents.add(cut.where("child_index = 0 or parent_index > 0").groupBy(F.col("parent_id").alias("id"), "document_id", "source_file").agg(F.first("parent").alias("document"), F.first("metadata").alias("metadata")))
+            self.parents.add(chunks.parents(new).select(parent_id.alias("id"), "document_id", "source_file", F.col("parent").alias("document"), "metadata"))
             self.children.add(small)
             return
         cut = chunks.structural(new)

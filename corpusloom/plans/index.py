@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import preview
+
 #: source_file, chunk_type and domain stand beside the metadata map so that filters reach the scan.
 CHUNKS = "id string, document_id string, source_file string, chunk_type string, domain string, chunk_index int, chunk_total bigint, document string, metadata map<string,string>, embedding array<double>"
 PARENTS = "id string, document_id string, source_file string, document string, metadata map<string,string>"
@@ -56,10 +58,15 @@ class Collection:
     def preview(self, n: int = 3) -> DataFrame:
         return self.rows().orderBy("id").limit(n)
 
+    def show_all(self, most: int = 100, chars: int = 200) -> DataFrame:
+        """id, source_file, document (cut to ``chars``) of the first ``most`` rows by id."""
+        return self.preview(most).select("id", "source_file", preview(F.col("document"), chars).alias("document"))
+
 
 def collections(spark: SparkSession) -> DataFrame:
-    """name, n of all tables."""
-    names = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    """name, n of all collections: tables with the columns of one."""
+    tables = [t.name for t in spark.catalog.listTables() if not t.isTemporary]
+    names = [n for n in tables if {"id", "document_id", "document", "metadata"} <= set(spark.table(n).columns)]
     counts = [spark.table(n).select(F.lit(n).alias("name")).groupBy("name").agg(F.count("*").alias("n")) for n in names]
     out = spark.createDataFrame([(n,) for n in names], "name string")
     for i, c in enumerate(counts):

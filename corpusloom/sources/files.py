@@ -70,17 +70,18 @@ def pdf_blocks(files: DataFrame, parser: PdfParser) -> DataFrame:
     return files.where("kind = 'pdf'").select("path", "content").mapInPandas(run, BLOCKS)
 
 
-def load_pdf(files: DataFrame, parser: PdfParser) -> DataFrame:
-    texts = pdf.documents(pdf_blocks(files, parser))
+def load_pdf(files: DataFrame, blocks: DataFrame) -> DataFrame:
+    """PDF files from their block table, which is read several times."""
+    texts = pdf.documents(blocks)
     joined = files.where("kind = 'pdf'").join(texts.withColumnRenamed("doc", "_doc"), F.col("path") == F.col("_doc"), "left")
     pages = F.create_map(F.lit("num_pages"), F.col("num_pages").cast("string"))
     return _loaded(joined, F.col("raw_text"), F.when(F.col("num_pages").isNotNull(), pages), F.when(F.col("num_pages").isNull(), F.lit("no page could be read")))
 
 
-def load(files: DataFrame, parser: PdfParser | None = None) -> DataFrame:
-    """All files; PDF files need a parser, else they are errors."""
+def load(files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """All files; PDF files need a (stored) block table, else they are errors."""
     out = load_markup(files)
-    if parser is not None:
-        return out.unionByName(load_pdf(files, parser))
+    if blocks is not None:
+        return out.unionByName(load_pdf(files, blocks))
     none = F.lit(None)
     return out.unionByName(_loaded(files.where("kind = 'pdf'"), none.cast("string"), none.cast("map<string,string>"), F.lit("no PDF parser is given")))

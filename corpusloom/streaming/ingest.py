@@ -14,7 +14,8 @@ def ingest_stream(engine: Engine, folder: str, checkpoint: str, now: str = "", a
     is run again after a failure adds nothing twice."""
 
     def batch(arrived: DataFrame, _: int) -> None:
-        engine.ingest(with_metadata(files.load(arrived, engine.parser), engine.domain, now))
+        with engine.loaded(arrived) as loaded:
+            engine.ingest(with_metadata(loaded, engine.domain, now))
 
     schema = "path string, modificationTime timestamp, length long, content binary"
     arriving = engine.spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{pdf,xml,json}").option("recursiveFileLookup", True).load(folder)

@@ -69,3 +69,28 @@ def test_stream(spark, corpus, tmp_path_factory):
     assert n > 4
     ingest_stream(engine, corpus, str(tmp_path_factory.mktemp("again"))).awaitTermination()
     assert engine.chunks.rows().count() == n
+
+
+def test_each_file_is_parsed_once(spark, corpus, tmp_path_factory):
+    log = tmp_path_factory.mktemp("calls")
+
+    class Counting:  # travels to the tasks by value
+        def blocks(self, content):
+            with open(log / "calls", "a") as f:
+                f.write("x")
+            return [(1, 100.0, 100.0, 0, 0.0, 0.0, 50.0, 9.0, "A page of a paper on bridges, with a good length of text.", 0)]
+
+    engine = Engine(spark, "t_once", parser=Counting())
+    assert engine.ingest_corpus(corpus, force=True).count() == 1
+    assert (log / "calls").read_text() == "x"
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("t_once_") and t.name not in ("t_once_parents", "t_once_children", "t_once_errors")]
+    shown = engine.chunks.show_all(3, 10).collect()
+    assert len(shown) == 3 and all(len(r.document) <= 13 for r in shown) and [r.id for r in shown] == sorted(r.id for r in shown)
+
+
+def test_command_line(spark, corpus, capsys):
+    from corpusloom import cli
+
+    cli.main(["--corpus", corpus, "--reset", "bridge number 2"])
+    out = capsys.readouterr().out
+    assert "bad.json" in out and "N/A" in out and "bridge number 2" in out

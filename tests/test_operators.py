@@ -85,3 +85,11 @@ def test_context_and_answers(spark):
             raise RuntimeError("down")
 
     assert "error: down" in {r.answer for r in context.answers(asked, "legal", Broken()).collect()}
+
+
+def test_questions_go_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 30, 3)], "query_id long, query array<double>")
+    want = sorted(map(tuple, search.top_k(vectors, asked, 4).collect()))
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 3)
+    assert sorted(map(tuple, search.top_k(vectors, asked, 4).collect())) == want and len(want) == 40
