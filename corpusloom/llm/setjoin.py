@@ -42,7 +42,7 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 18
 CHUNK_BYTES, COUNT_TOGETHER = 500_000, 1_000_000
 #: Longer lists are dealt out in blocks of about this size, a task for each pair of blocks.
 LIST_BLOCK = 4096
-#: Lists that are known to be longer are gathered in parts of about so many entries, each with a leader of its own.
+#: Lists that are known to be longer are gathered in parts of about so many entries.
 LIST_PART = 1000
 #: Comparisons with one set that one task makes; tables of up to so many rows are sent to all tasks.
 MEMBERS, BROADCAST_ROWS = 2000, 400_000
@@ -227,7 +227,7 @@ def _lists(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.nda
 
 
 def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """token, id, n, at, leader: the entries of all lists with two or more sets."""
+    """token, id, n, at, leader: the entries of all lists with two or more sets, and of those in several parts."""
     entries = sets.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("at", "t")).select(F.col("t.prefix").alias("token"), F.when(F.col("t.parts") > 1, F.pmod(F.xxhash64("id"), F.col("t.parts").cast("long")) + 1).otherwise(0).cast("int").alias("part"), "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("n_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         # (and each entry of a list that is in several parts)
         held: list[np.ndarray] | None = None
         leader_of: tuple[int, int, int] | None = None
-        schema = ["token", "id", "n", "at", "leader"]
+        schema = ["token", "part", "id", "n", "at", "leader"]
 
         def kept(cols: list[np.ndarray], final: bool) -> pa.RecordBatch:
             nonlocal leader_of
@@ -251,7 +251,7 @@ def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             use = many[group] | (part > 0)
             if len(token):
                 leader_of = (int(token[-1]), int(part[-1]), int(leader[-1]))
-            return pa.RecordBatch.from_arrays([pa.array(token[use]), pa.array(ids[use]), pa.array((n_at[use] >> 32).astype(np.int32)), pa.array((n_at[use] & 0xFFFFFFFF).astype(np.int32)), pa.array(leader[group][use])], schema)
+            return pa.RecordBatch.from_arrays([pa.array(token[use]), pa.array(part[use]), pa.array(ids[use]), pa.array((n_at[use] >> 32).astype(np.int32)), pa.array((n_at[use] & 0xFFFFFFFF).astype(np.int32)), pa.array(leader[group][use])], schema)
 
         for batch in batches:
             now = [np.asarray(c) for c in batch.columns]
@@ -273,7 +273,11 @@ def shared_lists(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield kept(held, True)
 
-    return entries.repartition("token", "part").sortWithinPartitions("token", "part", "id").mapInArrow(run, "token long, id long, n int, at int, leader long")
+    dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", "id")
+    lists = stored(dealt.mapInArrow(run, "token long, part int, id long, n int, at int, leader long"), "lists")
+    # the parts of a list have one leader; there are at most MOST_FREQUENT such lists
+    several = stored(lists.where("part > 0").groupBy("token").agg(F.min("leader").alias("first")), "long-lists")
+    return lists.join(F.broadcast(several), "token", "left").select("token", "id", "n", "at", F.coalesce("first", "leader").alias("leader"))
 
 
 def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -387,7 +391,7 @@ def join(docs: DataFrame) -> DataFrame:
     sets = stored(prefixed_sets(docs, frequent_shingles(docs)), "sets")
     classes = stored(sets.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.select(F.col("node").alias("doc_id")).distinct()
-    lists = stored(shared_lists(sets, nodes), "lists")
+    lists = shared_lists(sets, nodes)
     # one text of a class stands for it
     leaders = lists.where("id <> leader").groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b"))
     compared = compare(docs, nodes, leaders)
