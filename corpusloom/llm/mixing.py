@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, discard, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -87,7 +87,8 @@ def balance(cells: DataFrame, wanted: DataFrame) -> DataFrame:
         newton = F.when(F.col("bend") > 0, F.col("dual") + step)
         inside = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         done = F.col("done") | (F.abs(F.col("mass") - F.col("target")) <= CLOSE * F.col("target"))
-        duals = stored(tilted.select("s", "target", "mean", low.alias("low"), high.alias("high"), F.when(done, F.col("dual")).otherwise(inside).alias("dual"), done.alias("done")), "duals")
+        last, duals = duals, stored(tilted.select("s", "target", "mean", low.alias("low"), high.alias("high"), F.when(done, F.col("dual")).otherwise(inside).alias("dual"), done.alias("done")), "duals")
+        discard(last)
         if duals.where("not done").isEmpty():
             break
     return duals.select("s", "dual")

@@ -2,6 +2,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import iblt, licenses, lines, mixing, ordinal, pages, pivots, setjoin
+from corpusloom.llm import common, iblt, licenses, lines, mixing, ordinal, pages, pivots, setjoin
 from corpusloom.llm.components import components
 
 DOCS = "doc_id long, text string, source string, n_chars long, row string, size int, s int, _gone string"
@@ -21,6 +22,14 @@ def frame(spark, rows):
     return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else None, len(r[1] or ""), "x", 1, 2, "y") for r in rows], DOCS)
 
 
+def test_stored_tables_can_be_discarded(spark, monkeypatch):
+    kept, gone = common.stored(spark.range(5), "a"), common.stored(spark.range(5).repartition(3), "b")
+    folder = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    common.discard(gone)
+    assert not os.path.exists(folder) and kept.count() == 5
+
+
 # 3: shingle join
 
 
@@ -535,3 +544,14 @@ def test_pipeline_stages(spark, small):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept}
     assert sum(r.length for r in pieces if r.start == 0) > 0 and max(r.offset + r.length for r in pieces) <= 2048
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark, small):
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long, "a"), (1, "another text of the same id with words of its own", "a"), (1, long, "a"), (2, long, "b"), (3, None, "a"), (None, long, "a"), (None, long, "a"), (4, "", "b")]
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), small)
+    assert got.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, long), (1, rows[1][1]), (3, None), (None, long), (None, long), (4, "")], key=str)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(spark, []), small).count() == 0, name
+        assert stage(spark, frame(spark, rows), small).count() > 0, name
