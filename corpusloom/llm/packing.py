@@ -36,7 +36,8 @@ class Packer:
         self.limits, self.done = (tokens, segments, loss), []
         self.open: list[tuple[int, int, int]] = []
         self.room = list(self.limits)
-        self.items: list[tuple[int, int]] = []  # (tokens, tokens of them before the first loss-bearing one)
+        self.number = 0
+        self.before: dict[int, int] = {}  # of items that are not used up: tokens before the first loss-bearing one
 
     def _put(self, item: int, start: int, length: int, loss: int) -> None:
         self.open.append((item, start, length))
@@ -49,8 +50,9 @@ class Packer:
 
     def window(self, items: list[tuple[int, int]]) -> None:
         """items: (tokens, tokens without loss at the start); their numbers go on from earlier windows."""
-        first, most = len(self.items), self.limits
-        self.items += items
+        first, most = self.number, self.limits
+        self.number += len(items)
+        self.before |= {first + i: p for i, (_, p) in enumerate(items)}
         left = np.array([n for n, _ in items], np.int64)
         free = np.array([min(n, p) for n, p in items], np.int64)  # of what is left, the start without loss
         start = np.zeros(len(items), np.int64)
@@ -119,14 +121,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int = MAX_TOK
                 offset, total = 0, sum(n for *_, n in sequence)
                 for item, start, n in sequence:
                     own = ids[item][4 * start : 4 * (start + n)]
-                    before = packer.items[item][1]
+                    before = packer.before[item]
                     row = (names[item], start, n, zlib.crc32(own), len(ids[item]) // 4, serial, offset, max(0, start + n - max(before, start)), total, own if with_ids else None)
                     for column, v in zip(out, row):
                         column.append(v)
                     offset += n
                     used[item] = used.get(item, 0) + n
                     if used[item] * 4 == len(ids[item]):
-                        del ids[item], names[item], used[item]
+                        del ids[item], names[item], used[item], packer.before[item]
                 serial += 1
             packer.done = []
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 9 else pa.int64()) for k, v in enumerate(out)], [c.split()[0] for c in PIECES.split(", ")])

@@ -9,7 +9,7 @@ A file set is a folder with two Parquet tables, so any store that Spark writes c
 ``frequencies`` (token, frequency; the sum is ``2**SCALE_BITS``) and ``blocks``.
 
 Defined results: a null text is an empty one and still has its end token; null ids sort first; rows with
-equal ids are all kept, ordered by their tokens; no rows give empty tables. Extra columns are not read.
+equal ids are all kept, ordered by a hash of their tokens; no rows give empty tables. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -210,7 +210,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if ready:
             yield flush(ready)
 
-    ordered = tokens.where("counted is null").select("doc_id", "n_tokens", "ids").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # the hash splits the rows of one id, or without one, into several ranges
+    rows = tokens.where("counted is null").select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("order"))
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "order").sortWithinPartitions("doc_id", "order", "ids").drop("order")
     ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
 
 
