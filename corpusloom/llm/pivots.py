@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PIVOTS = 128
+PIVOTS = 64
 #: Queries that are sent to all tasks together.
 QUERY_BLOCK = 4096
 #: Candidates of the first slice; each slice is twice as long as the one before.
@@ -82,18 +82,26 @@ class Best:
 
     def look(self, ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray) -> None:
         squares, columns = (vectors * vectors).sum(1), to_pivots.T.copy()
+        # sums of whole numbers up to 2^24 are exact in single precision
+        exact = np.float32 if self.squares.max() * squares.max() < 2.0**47 else np.float64
+        vectors, queries = vectors.astype(exact), self.queries.astype(exact)
+        apart = np.empty_like(columns)
         for i in range(len(self.ids)):
-            apart = np.abs(columns - self.to_pivots[i][:, None]).max(0).astype(np.float64)
+            np.abs(np.subtract(columns, self.to_pivots[i][:, None], out=apart), out=apart)
+            far = apart.max(0).astype(np.float64)
             # half a unit is far more than the rounding of the distances
-            bound = (self.squares[i] + squares - apart * apart) / 2 + 0.5
+            bound = (self.squares[i] + squares - far * far) / 2 + 0.5
             live = np.flatnonzero((ids != self.ids[i]) & (bound >= self.least(i)))
-            live = live[np.argsort(-bound[live], kind="stable")]
+            live = live[np.argsort(-bound[live])]
             at, step = 0, FIRST
             while at < len(live) and bound[live[at]] >= self.least(i):
                 some = live[at : at + step]
-                scores, found = np.concatenate([self.scores[i], vectors[some] @ self.queries[i]]), np.concatenate([self.found[i], ids[some]])
-                best = np.lexsort((found, -scores))[: self.k]
-                self.scores[i], self.found[i] = scores[best], found[best]
+                scores = vectors[some] @ queries[i]
+                good = np.flatnonzero(scores >= self.least(i))
+                if len(good):
+                    scores, found = np.concatenate([self.scores[i], scores[good]]), np.concatenate([self.found[i], ids[some[good]]])
+                    best = np.lexsort((found, -scores))[: self.k]
+                    self.scores[i], self.found[i] = scores[best], found[best]
                 self.scored[i] += len(some)
                 at, step = at + step, 2 * step
 

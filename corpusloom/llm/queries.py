@@ -73,6 +73,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_shingle_join": setjoin.ORACLE,
     "op8_exact_top_k": pivots.ORACLE,
     "op9_license_scan": licenses.oracle(),
     "op10_line_dedup": lines.oracle(),

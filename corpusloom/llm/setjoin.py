@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WORD, stored
 from .components import components
 
 WORDS = 5
@@ -409,3 +409,14 @@ def _shared_ids(sets: DataFrame, classes: DataFrame) -> DataFrame:
     mine = sets.where("n > 0 and doc_id is not null").join(classes, ["s1", "s2"]).select("doc_id", "node").distinct()
     ends = mine.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("u")).where("u > v")
     return mine.join(ends.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v").where("u > v")
+
+
+ORACLE = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= {WORDS} then list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where {DENOMINATOR} * k >= {NUMERATOR} * (x.n + y.n - k)),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a)
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, least(d.doc_id, min(reach.b)) as component_id from d left join n using (doc_id) left join reach on reach.a = d.doc_id group by d.doc_id
+"""
