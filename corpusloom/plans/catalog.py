@@ -367,6 +367,14 @@ def html_flatten(spark, sf_dir):
     return pages.select("page_id", markup.flatten_html(F.col("html")).alias("content"))
 
 
+HTML_SQL = r"""
+with c as (select page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') as h from pages),
+x as (select page_id, h, regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>([^<]+)', 1) as tags, regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>([^<]+)', 2) as texts from c),
+u as (select page_id, unnest(range(0, len(tags))) as i, unnest(tags) as tag, trim(regexp_replace(unnest(texts), '\s+', ' ', 'g')) as own from x),
+v as (select page_id, i, tag, replace(replace(replace(replace(replace(replace(own, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as own from u where own <> '')
+select page_id, coalesce(content, '') as content from pages left join (select page_id, string_agg(case when tag in ('p', 'div', 'span') then own else '[' || tag || ']: ' || own end, chr(10) order by i) as content from v group by page_id) using (page_id)
+"""
+
 # vectors
 
 
@@ -529,6 +537,7 @@ ORACLES = {
     "line_cleanup": CLEANUP_SQL,
     "page_layouts": LAYOUTS_SQL,
     "reading_order": ORDER_SQL,
+    "html_flatten": HTML_SQL,
     "vector_topk": _top_sql("q.vec_id = 0", 5),
     "vector_topk_batch": _top_sql("q.vec_id % 25 = 0", 5),
     "vector_topk_cosine": _top_sql("q.vec_id % 25 = 0", 5, metric="round(list_cosine_distance(v.embedding::double[], q.embedding::double[]), 6)"),
