@@ -32,8 +32,8 @@ from .common import stored
 GRADES = 4
 #: The bound on the training sample, and on the features.
 MAX_ROWS, MAX_FEATURES = 20_000, 2_000
-#: Least likelihood ratio (G squared) of a feature word.
-LEAST_G2 = 16.0
+#: Least likelihood ratio (G squared) of a feature word, and of a beginning, which stands for many words.
+LEAST_G2, LEAST_G2_BEGINNING = 16.0, 32.0
 #: So many words before it, and so many after it, make a word's places.
 BESIDE = 5
 REJECT = 0.5
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         a, t = F.col("a").cast("double"), F.col("t").cast("double")
         log0 = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
         g2 = 2 * (log0(a, t * (bad / n)) + log0(t - a, t * (1 - bad / n)) + log0(bad - a, (n - t) * (bad / n)) + log0((n - t) - (bad - a), (n - t) * (1 - bad / n)))
-        chosen = words.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a / t > bad / n))
+        least = F.when(F.startswith("w", F.lit("^")), LEAST_G2_BEGINNING).otherwise(LEAST_G2)
+        chosen = words.withColumn("g2", g2).where((F.col("g2") >= least) & (a / t > bad / n))
         kept, covered = [], set()
         for r in sorted(chosen.orderBy(F.desc("g2"), "w").limit(MAX_FEATURES).collect(), key=lambda r: (r["w"][0] == "^", -len(r["w"]), r["w"])):
             word = r["w"].removeprefix("^")
