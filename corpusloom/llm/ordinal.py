@@ -181,21 +181,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     vocabulary = significant(own.select("w", (F.col("number") < 0).cast("int").alias("toxic")))
     if not vocabulary:
         return Model({}, [50.0] * (GRADES - 1))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    # only the feature words of at most max_rows texts come to the driver, and one count of the rows without any
-    found = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).select("text_hash", "toxic", F.explode(features_of(F.col("w"))).alias("w")).join(listed(vocabulary), "w").groupBy("text_hash", "toxic", "w").agg(F.count("*").alias("n"))
-    cells = found.toPandas().sort_values(["text_hash", "w"])
-    held = cells.drop_duplicates("text_hash")
+    # only the counts of features in at most max_rows texts come to the driver, equal ones once, and one count of the rest
+    numbers = F.broadcast(docs.sparkSession.createDataFrame([*enumerate(vocabulary)], "id int, w string"))
+    each = texts.select("text_hash", "toxic", F.explode("terms").alias("w")).select("text_hash", "toxic", F.explode(features_of(F.col("w"))).alias("w"))
+    counts = each.join(numbers, "w").groupBy("text_hash", "toxic", "id").agg(F.count("*").cast("int").alias("n"))
+    rows = counts.groupBy("text_hash", "toxic").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("cells"))
+    rows = rows.groupBy("toxic", "cells").agg(F.count("*").alias("texts")).orderBy("toxic", "cells")
+    held = rows.select("toxic", "texts", F.col("cells.id").alias("id"), F.col("cells.n").alias("n")).toArrow().combine_chunks()
+    column = lambda name: held[name].combine_chunks()
+    toxic, many = (np.asarray(column(c)).astype(int) for c in ("toxic", "texts"))
     all_of = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    empty = {k: v - int((held["toxic"] == k).sum()) for k, v in all_of.items()}
-    row = np.searchsorted(held["text_hash"].to_numpy(), cells["text_hash"].to_numpy())
-    counts = cells["n"].to_numpy(float)
-    number = np.bincount(row, counts, len(held))
-    x = Sparse(row, cells["w"].map(place).to_numpy(int), np.log1p(counts), (len(held) + 2, len(vocabulary)))
-    toxic = held["toxic"].to_numpy()
-    cuts = np.quantile(number[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else [1, 1]
+    empty = [all_of.get(k, 0) - int(many[toxic == k].sum()) for k in (0, 1)]
+    row = np.repeat(np.arange(len(toxic)), np.asarray(column("id").value_lengths()))
+    counts = np.asarray(column("n").flatten()).astype(float)
+    number = np.bincount(row, counts, len(toxic))
+    x = Sparse(row, np.asarray(column("id").flatten()).astype(int), np.log1p(counts), (len(toxic) + 2, len(vocabulary)))
+    cuts = np.quantile(np.repeat(number, many)[np.repeat(toxic, many) == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else [1, 1]
     y = np.concatenate([np.where(toxic == 1, 1 + (number > cuts[0]).astype(int) + (number > cuts[1]).astype(int), 0), [0, 1]]).astype(int)
-    weight = np.concatenate([np.ones(len(held)), [empty.get(0, 0), empty.get(1, 0)]]).astype(float)
+    weight = np.concatenate([many, empty]).astype(float)
     theta = fit_rows(x, y, weight)
     k = GRADES - 1
     cut = theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:k]))])
