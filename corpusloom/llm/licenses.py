@@ -1,10 +1,11 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-All rolling ``K``-word hashes of a text are joined to the positions of the same hashes in the license
-templates (a fixed, small table, broadcast). A hit votes for its diagonal, word position minus template
+The rolling ``K``-word hashes of a text are joined to the positions of the same hashes in the license
+templates (a fixed, small table, broadcast); a bit table of the templates' hashes keeps most others from the join.
+A hit has the template's words, not only their hash, and votes for its diagonal, word position minus template
 position. Neighbouring diagonals of a template, which differ by inserted or missing words, are merged to
-spans; a span stands if it covers enough of its template and is not stretched. A diagonal that has every
-hash of its template is an exact place.
+spans; a span stands if the words verified in it cover enough of its template and it is not stretched. A diagonal
+that has every run of words of its template is an exact place.
 
 Defined results: a null or empty text has no words and no places, its labels are '' and its score 0; rows
 that repeat are reported each; ids may be null. Extra columns are not read.
@@ -15,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 
 K = 3
 #: Diagonals of one template that are at most so far apart are one span.
 NEAR = 2
 #: Share of a template's hashes that a span must cover; more of short templates, which differ in a word or two.
 COVER, COVER_SHORT, SHORT = 0.6, 0.8, 12
+#: 64-bit words of the bit table.
+BIT_WORDS = 512
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Fixed values: (label, words). The first three are the base phrases.
@@ -50,26 +53,47 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _run(w: Column, i: Column) -> Column:
+    return F.array_join(F.slice(w, i + 1, K), " ")
+
+
 def rolling(w: Column) -> Column:
-    """Hashes of all K-word runs, by position."""
-    return F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.xxhash64(*(w[i + j] for j in range(K))))).otherwise(F.array().cast("array<bigint>"))
+    """place and gram, the hash, of all K-word runs."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - K), lambda i: F.struct(i.alias("place"), F.xxhash64(*(w[i + j] for j in range(K))).alias("gram")))
+    return F.when(F.size(w) >= K, grams).otherwise(F.array().cast("array<struct<place:int,gram:bigint>>"))
+
+
+def candidates(w: Column, grams: list[int]) -> Column:
+    """place, gram and run, the words themselves, of the runs whose hash may be one of ``grams``."""
+    bits = [0] * BIT_WORDS
+    for g in grams:
+        bits[g % (64 * BIT_WORDS) // 64] |= 1 << g % 64
+    table = F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in bits])
+    place = lambda x: F.shiftrightunsigned(x["gram"].bitwiseAND(64 * BIT_WORDS - 1), 6).cast("int") + 1
+    hit = lambda x: F.call_function("shiftrightunsigned", F.element_at(table, place(x)), x["gram"].bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return F.transform(F.filter(rolling(w), hit), lambda x: F.struct(x["place"].alias("place"), x["gram"].alias("gram"), _run(w, x["place"]).alias("run")))
 
 
 def template_grams(spark: SparkSession, base: list[tuple[str, str]], more: list[tuple[str, str]]) -> DataFrame:
     rows = [(n, label, n < len(base), text) for n, (label, text) in enumerate([*base, *more])]
     t = spark.createDataFrame(rows, "template int, label string, is_base boolean, text string").withColumn("w", words(F.col("text")))
-    return t.select("template", "label", "is_base", (F.size("w") - (K - 1)).alias("grams"), F.posexplode(rolling(F.col("w"))).alias("at", "gram"))
+    g = t.select("template", "label", "is_base", "w", (F.size("w") - (K - 1)).alias("grams"), F.explode(rolling(F.col("w"))).alias("g"))
+    return g.select("template", "label", "is_base", "grams", F.col("g.place").alias("at"), F.col("g.gram").alias("gram"), _run(F.col("w"), F.col("g.place")).alias("run"))
 
 
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text)."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    grams = F.broadcast(template_grams(docs.sparkSession, base, templates))
+    grams = template_grams(docs.sparkSession, base, templates)
+    known = [r.gram for r in grams.select("gram").distinct().collect()]  # the templates' own
+    # the one-element array names the words, so that a text is cut once
+    of_text = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w, known).alias("runs")))
+    cut = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.element_at(of_text, 1).alias("x")).select("doc_id", "text_hash", "x.*"), "runs")
     key = ["doc_id", "text_hash"]
     # repeated rows give the same hits twice, hence the grouping by both positions
     hits = (
-        cut.select(*key, F.posexplode(rolling(F.col("w"))).alias("place", "gram"))
-        .join(grams, "gram")
+        cut.select(*key, F.explode("runs").alias("r"))
+        .select(*key, "r.*")
+        .join(F.broadcast(grams), ["gram", "run"])
         .groupBy(*key, "template", "label", "is_base", "grams", "place", "at")
         .agg(F.lit(1).alias("vote"))
     )
@@ -98,7 +122,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("stands"), F.col("label")))), ",").alias("labels"),
         F.max(F.when(F.col("stands"), F.col("cover"))).alias("score"),
     )
-    rows = cut.select(*key, F.size("w").cast("long").alias("n_words"))
+    rows = cut.select(*key, "n_words")
     same = rows["doc_id"].eqNullSafe(found["doc_id"]) & rows["text_hash"].eqNullSafe(found["text_hash"])
     return rows.join(found, same, "left").select(
         rows["doc_id"],
