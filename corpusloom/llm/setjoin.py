@@ -285,8 +285,13 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The texts of b travel to a's task, a few thousand to each; a set is hashed once per text.
     """
-    asked = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", F.greatest(F.lit(1), F.ceil(F.col("members") / MEMBERS)).cast("int").alias("parts"))
-    seconds = pairs.join(asked, "a").select(F.col("b").alias("id"), F.struct(F.col("a").alias("a"), F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), F.lit(1).alias("role")).alias("task"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("members") / MEMBERS)).cast("int")
+    asked = stored(pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", parts.alias("parts")), "asked")
+    # only sets with many comparisons are looked up, so that the pairs of one set don't go to one task
+    large = asked.where("parts > 1")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
+    seconds = pairs.join(large, "a", "left").select(F.col("b").alias("id"), F.struct(F.col("a").alias("a"), part.alias("part"), F.lit(1).alias("role")).alias("task"))
     firsts = asked.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("a").alias("a"), p.alias("part"), F.lit(0).alias("role")))).alias("task"))
     tasks = stored(firsts.unionByName(seconds).groupBy("id").agg(F.collect_list("task").alias("tasks")), "comparisons")
     rows = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).first()[0]

@@ -555,3 +555,19 @@ def test_pipeline_keeps_rows_that_share_an_id(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), small).count() == 0, name
         assert stage(spark, frame(spark, rows), small).count() > 0, name
+
+
+def test_license_words_are_compared(spark, monkeypatch):
+    # with one hash for all runs, only the words tell them apart
+    monkeypatch.setattr(licenses, "BIT_WORDS", 1)
+    monkeypatch.setattr(licenses.F, "xxhash64", lambda *c: F.length(F.concat(*c)).cast("long") * 0 if len(c) == 3 else F.hash(*c).cast("long"))
+    rows = [(1, "x under the mit license cc by sa under that mit license"), (2, "one two three four five six"), (3, "cc by nc. cc by nc"), (4, " ".join("abcde") + " gnu lesser general public license")]
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: (1, 1, 1, "mit"), 2: (0, None, None, ""), 3: (2, 0, 3, "cc-by-nc"), 4: (0, None, None, "lgpl")}
+
+
+def test_a_whole_copy_in_a_chain_of_diagonals_stays(spark):
+    phrase = "gnu general public license version 3"
+    text = " ".join(f"gnu general public filler{i}" for i in range(3)) + " " + phrase + " " + " ".join(f"public license version filler{i}" for i in range(3))
+    got = licenses.scan(frame(spark, [(1, text), (2, f"{phrase} {phrase}")])).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "gpl-3", 2: "gpl-3"}
