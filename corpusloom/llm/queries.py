@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import iblt, licenses, lines, mixing, ordinal, packing, pages, pivots, rans, setjoin
+from . import iblt, licenses, lines, mixing, negatives, ordinal, packing, pages, pivots, rans, runs, setjoin, transducer
 from .common import scratch, table
 
 
@@ -60,6 +60,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "text", "lines_before", "lines_removed")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), limit=2048)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(runs.with_periodic_ends(table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
@@ -71,10 +85,14 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op3_shingle_join": setjoin.ORACLE,
     "op8_exact_top_k": pivots.ORACLE,
     "op9_license_scan": licenses.oracle(),
     "op10_line_dedup": lines.oracle(),
+    "op13_hard_negatives": negatives.ORACLE,
 }
