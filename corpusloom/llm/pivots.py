@@ -2,7 +2,8 @@
 
 Distances of every vector to ``PIVOTS`` pivots are computed once and stored. For a query q and a candidate x the
 triangle inequality gives, over all pivots p, the lower bound ``max |d(q,p) - d(x,p)|`` of d(q,x), hence
-an upper bound of the inner product, ``(|q|^2 + |x|^2 - d(q,x)^2) / 2``. Queries go in blocks of a fixed size to
+an upper bound of the inner product, ``(|q|^2 + |x|^2 - d(q,x)^2) / 2``, widened by what rounding can change in it
+(see ``margins``), so that elimination is exact for vectors of any length. Queries go in blocks of a fixed size to
 all candidates, which stay where they are: a task takes its candidates in the order of their bounds, in slices, and
 stops where no bound left reaches the k-th best score that it has for the query, from earlier slices and earlier
 batches too. The tasks' best are merged by a ranking window.
@@ -10,7 +11,8 @@ batches too. The tasks' best are merged by a ranking window.
 Defined results: components are floor(64 * x); rows without an id, and vectors that are null or hold null
 or non-finite components, take no part; vectors of different lengths have no score; a query never finds
 rows of its own id; of rows that repeat a query's id the smallest vector asks; repeated candidates all
-count; ties go to the smaller id. No rows give no rows. Extra columns are not read.
+count; ties go to the smaller id. Scores are exact; one beyond a long raises an error. No rows give no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ PIVOTS = 64
 QUERY_BLOCK = 4096
 #: Candidates of the first slice; each slice is twice as long as the one before.
 FIRST = 64
+#: Rounding of one operation in double and in single precision.
+EPS, EPS_SINGLE = 2.0**-53, 2.0**-24
+LEAST_SCORE = np.iinfo(np.int64).min
 
 
 def quantised(embedding: Column) -> Column:
@@ -47,10 +52,11 @@ def _by_width(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     widths = np.diff(vectors.offsets.to_numpy())
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
-        yield rows, np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), width)
+        yield rows, np.asarray(vectors.take(pa.array(rows)).flatten(), np.int64).reshape(len(rows), width)
 
 
 def distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    matrix = matrix.astype(np.float64)
     squares = (matrix * matrix).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * matrix @ pivots.T
     return np.sqrt(np.maximum(squares, 0)).astype(np.float32)
 
@@ -70,43 +76,64 @@ def with_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFra
     return vectors.mapInArrow(run, "vec_id long, v array<long>, to_pivots array<float>")
 
 
+def margins(squares: np.ndarray, to_pivots: np.ndarray, root: float) -> np.ndarray:
+    """How far the stored distances of vectors of these squared lengths can be from the true ones. Stored in single
+    precision, a distance is off by EPS_SINGLE of it; four times that of the sum of both lengths (a pivot is at most as long
+    as a vector and its distance together) covers the later subtraction. Sums of whole numbers below 2^53 are exact in
+    double precision; beyond, a squared distance is off by (width + 3) EPS of the squared sum of the lengths, and
+    its root by ``root`` of that sum."""
+    both = 2 * np.sqrt(squares) + to_pivots.max(1, initial=0).astype(np.float64)
+    return both * (4 * EPS_SINGLE + np.where(both * both >= 2.0**52, root, 0))
+
+
+def scores(vectors: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers, none beyond ``most``, as 64-bit integers."""
+    if most < 2.0**62:
+        return vectors @ query
+    return (vectors.astype(object) @ query.astype(object)).astype(np.int64)  # an error if one is no long
+
+
 class Best:
     """The best ``k`` of the candidates so far, for each query of one length."""
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, to_pivots: np.ndarray, k: int):
         self.ids, self.queries, self.to_pivots, self.k = ids, queries, to_pivots, k
-        self.squares = (queries * queries).sum(1)
-        self.scores = [np.zeros(0)] * len(ids)
+        self.squares = (queries.astype(np.float64) ** 2).sum(1)
+        self.scores = [np.zeros(0, np.int64)] * len(ids)
         self.found = [np.zeros(0, np.int64)] * len(ids)
         self.scored = np.zeros(len(ids), np.int64)
 
     def look(self, ids: np.ndarray, vectors: np.ndarray, to_pivots: np.ndarray) -> None:
-        squares, columns = (vectors * vectors).sum(1), to_pivots.T.copy()
-        # sums of whole numbers up to 2^24 are exact in single precision
-        exact = np.float32 if self.squares.max() * squares.max() < 2.0**47 else np.float64
-        vectors, queries = vectors.astype(exact), self.queries.astype(exact)
+        squares, columns = (vectors.astype(np.float64) ** 2).sum(1), to_pivots.T.copy()
+        width = vectors.shape[1]
+        # sums of whole numbers up to 2^24 are exact in single precision, up to 2^53 in double
+        most = math.sqrt(float(self.squares.max() * squares.max())) * (1 + (width + 2) * EPS)
+        exact = np.float32 if most < 2.0**23 else np.float64 if most < 2.0**51 else None
+        fast, queries = (vectors.astype(exact), self.queries.astype(exact)) if exact else (vectors, self.queries)
+        root = math.sqrt((width + 3) * EPS)
+        own, other = margins(self.squares, self.to_pivots, root), margins(squares, to_pivots, root)
         apart = np.empty_like(columns)
         for i in range(len(self.ids)):
             np.abs(np.subtract(columns, self.to_pivots[i][:, None], out=apart), out=apart)
-            far = apart.max(0).astype(np.float64)
-            # half a unit is far more than the rounding of the distances
+            far = np.maximum(apart.max(0).astype(np.float64) - own[i] - other, 0)
             bound = (self.squares[i] + squares - far * far) / 2 + 0.5
+            bound += (width + 8) * EPS * (self.squares[i] + squares)
             live = np.flatnonzero((ids != self.ids[i]) & (bound >= self.least(i)))
             live = live[np.argsort(-bound[live])]
             at, step = 0, FIRST
             while at < len(live) and bound[live[at]] >= self.least(i):
                 some = live[at : at + step]
-                scores = vectors[some] @ queries[i]
-                good = np.flatnonzero(scores >= self.least(i))
+                new = (fast[some] @ queries[i]).astype(np.int64) if exact else scores(vectors[some], self.queries[i], most)
+                good = np.flatnonzero(new >= self.least(i))
                 if len(good):
-                    scores, found = np.concatenate([self.scores[i], scores[good]]), np.concatenate([self.found[i], ids[some[good]]])
-                    best = np.lexsort((found, -scores))[: self.k]
-                    self.scores[i], self.found[i] = scores[best], found[best]
+                    values, found = np.concatenate([self.scores[i], new[good]]), np.concatenate([self.found[i], ids[some[good]]])
+                    best = np.lexsort((found, ~values))[: self.k]
+                    self.scores[i], self.found[i] = values[best], found[best]
                 self.scored[i] += len(some)
                 at, step = at + step, 2 * step
 
-    def least(self, i: int) -> float:
-        return self.scores[i][-1] if len(self.scores[i]) == self.k else -np.inf
+    def least(self, i: int) -> int:
+        return int(self.scores[i][-1]) if len(self.scores[i]) == self.k else LEAST_SCORE
 
 
 def search(table: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -136,7 +163,7 @@ def search(table: DataFrame, asked: DataFrame, k: int, block: int = QUERY_BLOCK)
                 firsts = (np.cumsum(n) - n)[n > 0]
                 scored = np.zeros(n.sum(), np.int64)
                 scored[firsts] = best.scored[n > 0]
-                columns = [np.repeat(best.ids, n), np.concatenate(best.found), np.concatenate(best.scores).astype(np.int64), scored]
+                columns = [np.repeat(best.ids, n), np.concatenate(best.found), np.concatenate(best.scores), scored]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score", "scored"])
 
         part = table.mapInArrow(run, "query_id long, vec_id long, score long, scored long")
