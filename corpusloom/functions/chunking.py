@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import overlap_tail, sentences, strip
+from .text import bound, overlap_tail, sentences, strip
 
 
 def sliding_windows(text: Column, size: int, overlap: int) -> Column:
@@ -23,22 +23,25 @@ def sliding_windows(text: Column, size: int, overlap: int) -> Column:
 
 
 def _fold(parts: Column, joint: str, size: int, overlap: int, large=None) -> Column:
-    """Join parts up to ``size``; a chunk that is put out leaves its tail as the start of the next."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
-
-    def merge(state: Column, part: Column) -> Column:
-        joined = F.struct(F.concat(state["now"], F.lit(joint), part).alias("now"), state["out"].alias("out"))
-        put = F.struct(F.concat(overlap_tail(state["now"], overlap), F.lit(joint), part).alias("now"), F.array_append(state["out"], strip(state["now"])).alias("out"))
-        step = F.when(F.length(state["now"]) + F.length(part) <= size, joined).otherwise(put)
+    """Join parts up to ``size``; a chunk that is put out leaves its tail as the start of the next. The state has the
+    chunk that grows, its length, and what is put out."""
+    state = lambda now, n, out: F.struct(now.alias("now"), n.alias("n"), out.alias("out"))
+    glue = F.lit(joint)
+
+    def merge(s: Column, part: Column) -> Column:
+        joined = state(F.concat(s["now"], glue, part), s["n"] + len(joint) + F.length(part), s["out"])
+        rest = F.concat(overlap_tail(s["now"], overlap), glue, part)
+        put = bound(rest, lambda now: state(now, F.length(now), F.array_append(s["out"], strip(s["now"]))))
+        step = F.when(s["n"] + F.length(part) <= size, joined).otherwise(put)
         if large is None:
             return step
         # a part over the size is put out at once, before what is waiting
-        return F.when(F.length(part) > size, F.struct(state["now"].alias("now"), F.concat(state["out"], large(part)).alias("out"))).otherwise(step)
+        return F.when(F.length(part) > size, state(s["now"], s["n"], F.concat(s["out"], large(part)))).otherwise(step)
 
-    def finish(state: Column) -> Column:
-        return F.when(strip(state["now"]) == "", state["out"]).otherwise(F.array_append(state["out"], strip(state["now"])))
+    def finish(s: Column) -> Column:
+        return bound(strip(s["now"]), lambda now: F.when(now == "", s["out"]).otherwise(F.array_append(s["out"], now)))
 
-    return F.aggregate(parts, start, merge, finish)
+    return F.aggregate(parts, state(F.lit(""), F.lit(0), F.array().cast("array<string>")), merge, finish)
 
 
 def blocks(text: Column) -> Column:
