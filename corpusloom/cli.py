@@ -1,4 +1,4 @@
-"""python -m corpusloom.cli --corpus FOLDER [--retriever recursive|parent-child] [--reset] QUESTION..."""
+"""python -m corpusloom.cli --corpus FOLDER [--retriever recursive|parent-child] [--reset] [--update] QUESTION..."""
 
 from __future__ import annotations
 
@@ -16,11 +16,12 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--corpus", required=True)
     parser.add_argument("--retriever", choices=MODES, default=MODES[0])
     parser.add_argument("--reset", action="store_true")
+    parser.add_argument("--update", action="store_true", help="index files that are new or changed")
     parser.add_argument("questions", nargs="*")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("corpusloom").getOrCreate()
     engine = Engine(spark, mode=given.retriever)
-    engine.ingest_corpus(given.corpus, force=given.reset).show(truncate=False)
+    engine.ingest_corpus(given.corpus, force=given.reset, update=given.update).show(truncate=False)
     if given.questions:
         asked = spark.createDataFrame(list(enumerate(given.questions)), "query_id long, question string")
         found = engine.search(asked)

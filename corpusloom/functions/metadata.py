@@ -63,20 +63,48 @@ def stringified(fields: dict[str, tuple[Column, str]]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-def where(metadata: Column, condition: dict) -> Column:
-    """A filter dictionary ({key: value}, {key: {$op: value}}, $and, $or) as a Column; values are texts."""
-    ops = {
-        "$eq": lambda c, v: c == str(v), "$ne": lambda c, v: c != str(v), "$in": lambda c, v: c.isin([str(x) for x in v]), "$nin": lambda c, v: ~c.isin([str(x) for x in v]),
-        "$gt": lambda c, v: c > str(v), "$gte": lambda c, v: c >= str(v), "$lt": lambda c, v: c < str(v), "$lte": lambda c, v: c <= str(v), "$contains": lambda c, v: F.contains(c, F.lit(str(v))),
-    }
+def _number(column: Column, kind: str) -> Column:
+    return column if kind == "number" else column.try_cast("double")
+
+
+def _compared(column: Column, kind: str, op: str, value) -> Column:
+    """One comparison. Numbers are compared as numbers, other values as texts."""
+    numeric = isinstance(value, (int, float)) and not isinstance(value, bool)
+    left, right = (_number(column, kind), F.lit(value)) if numeric else (column.cast("string") if kind == "number" else column, F.lit(str(value)))
+    match op:
+        case "$eq":
+            return left == right
+        case "$ne":
+            return left != right
+        case "$gt":
+            return left > right
+        case "$gte":
+            return left >= right
+        case "$lt":
+            return left < right
+        case "$lte":
+            return left <= right
+        case "$contains":
+            return F.contains(column.cast("string"), F.lit(str(value)))
+    raise ValueError(f"unknown operator {op!r}")
+
+
+def where(metadata: Column, condition: dict, columns: dict[str, Column] | None = None, numbers: tuple[str, ...] = ()) -> Column:
+    """A filter dictionary ({key: value}, {key: {$op: value}}, $and, $or) as a Column. Keys of ``columns`` are these columns, so
+    that the filter can reach the scan; others are looked up in the map. A number as operand is compared with numbers
+    (texts that are none match nothing), any other value with texts; ``numbers`` names the columns that hold numbers."""
     out = []
     for key, value in condition.items():
         if key in ("$and", "$or"):
-            parts = [where(metadata, c) for c in value]
+            parts = [where(metadata, c, columns, numbers) for c in value]
             out.append(reduce(lambda a, b: a & b if key == "$and" else a | b, parts))
-        else:
-            for op, operand in (value if isinstance(value, dict) else {"$eq": value}).items():
-                if op not in ops:
-                    raise ValueError(f"unknown operator {op!r}")
-                out.append(ops[op](metadata[key], operand))
+            continue
+        column, kind = (columns or {}).get(key, metadata[key]), "number" if key in numbers else "text"
+        for op, operand in (value if isinstance(value, dict) else {"$eq": value}).items():
+            if op in ("$in", "$nin"):
+                texts = all(isinstance(x, str) for x in operand) and kind == "text"
+                any_of = column.isin(list(operand)) if texts else reduce(lambda a, b: a | b, [_compared(column, kind, "$eq", x) for x in operand], F.lit(False))
+                out.append(any_of if op == "$in" else ~any_of)
+            else:
+                out.append(_compared(column, kind, op, operand))
     return reduce(lambda a, b: a & b, out, F.lit(True))

@@ -164,9 +164,21 @@ def metadata_where(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     m = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
     rule = {"$or": [{"lang": {"$in": ["fr", "es"]}}, {"$and": [{"source": "src1"}, {"lang": {"$ne": "de"}}]}], "source": {"$contains": "1"}}
-    return docs.where(metadata.where(m, rule)).select("doc_id", "lang", "source")
+    own = {"lang": F.col("lang"), "source": F.col("source")}
+    return docs.where(metadata.where(m, rule, own)).select("doc_id", "lang", "source")
 
 
+def metadata_where_numbers(spark, sf_dir):
+    """Numbers that are stored as texts, and a column of numbers."""
+    docs = _t(spark, sf_dir, "documents").withColumn("m", F.create_map(F.lit("words"), F.size(F.split("text", " ")).cast("string"), F.lit("lang"), F.col("lang")))
+    rule = {"words": {"$gt": 9, "$lte": 400.5}, "n_chars": {"$gte": 100}, "$or": [{"lang": {"$in": ["fr", "de"]}}, {"words": {"$nin": [100, 200]}}]}
+    return docs.where(metadata.where(F.col("m"), rule, {"n_chars": F.col("n_chars")}, ("n_chars",))).select("doc_id", "lang", "n_chars")
+
+
+WHERE_NUMBERS_SQL = """
+with d as (select *, len(string_split(text, ' ')) as words from documents)
+select doc_id, lang, n_chars from d where words > 9 and words <= 400 and n_chars >= 100 and (lang in ('fr', 'de') or words not in (100, 200))
+"""
 WHERE_SQL = "select doc_id, lang, source from documents where (lang in ('fr', 'es') or (source = 'src1' and lang <> 'de')) and contains(source, '1')"
 
 
@@ -504,7 +516,7 @@ select conv_id, turn, {_share_sql('a', 'c')} as faithfulness, {_share_sql('q', '
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, source_contains,
+        sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
         collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
         vector_topk, vector_topk_batch, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval,
     )
@@ -519,6 +531,7 @@ ORACLES = {
     "outcome_and_vote": OUTCOME_SQL,
     "metadata_strings": METADATA_SQL,
     "metadata_where": WHERE_SQL,
+    "metadata_where_numbers": WHERE_NUMBERS_SQL,
     "source_contains": CONTAINS_SQL,
     "collection_counts": "select source as name, count(*) as n from documents group by source",
     "get_by_ids": "select doc_id, source, n_chars from documents where doc_id in (select item_id from benchmark)",

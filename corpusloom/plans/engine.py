@@ -13,9 +13,12 @@ from ..functions import metadata
 from ..functions.vectors import Embedder, HashedEmbedder, embed
 from ..operators import chunks, context, search
 from ..sources import files
-from .index import CHILDREN, CHUNKS, PARENTS, Collection
+from .index import CHILDREN, CHUNKS, PARENTS, Collection, Manifest, new_batch
 
 MODES = ("recursive", "parent-child")
+ERRORS = "path string, error string"
+#: Files that were read, or failed, as they were then.
+FILES = "path string, modified long, size long"
 
 
 def with_metadata(loaded: DataFrame, domain: str, now: str) -> DataFrame:
@@ -44,24 +47,34 @@ def with_metadata(loaded: DataFrame, domain: str, now: str) -> DataFrame:
 
 
 class Engine:
-    """``mode`` 'parent-child' searches small chunks and returns large ones; any other searches structural chunks."""
+    """``mode`` 'parent-child' searches small chunks and returns large ones; any other searches structural chunks. What an
+    ingestion writes to the tables is seen when all of it is written: its batch is committed last."""
 
     def __init__(self, spark: SparkSession, collection: str = "corpus", mode: str = "recursive", domain: str = "tourisme", embedder: Embedder | None = None, parser: files.PdfParser | None = None):
         self.spark, self.mode, self.domain, self.parser = spark, mode, domain, parser
         self.embedder = embedder or HashedEmbedder()
-        self.chunks = Collection(spark, collection, CHUNKS)
-        self.parents = Collection(spark, f"{collection}_parents", PARENTS)
-        self.children = Collection(spark, f"{collection}_children", CHILDREN)
-        self.errors = Collection(spark, f"{collection}_errors", "path string, error string")
+        self.manifest = Manifest(spark, f"commits_of_{collection}")
+        names = ((collection, CHUNKS), (f"{collection}_parents", PARENTS), (f"{collection}_children", CHILDREN), (f"{collection}_errors", ERRORS), (f"files_of_{collection}", FILES))
+        self.chunks, self.parents, self.children, self.errors, self.files = (Collection(spark, name, schema, self.manifest) for name, schema in names)
 
     @property
     def active(self) -> Collection:
         return self.children if self.mode == "parent-child" else self.chunks
 
+    @property
+    def tables(self) -> tuple[Collection, ...]:
+        return self.chunks, self.parents, self.children, self.errors, self.files
+
     def reset(self) -> None:
-        for c in (self.chunks, self.parents, self.children, self.errors):
+        self.manifest.drop()  # from here on nothing is seen
+        self.manifest.create()
+        for c in self.tables:
             c.reset()
 
+    def vacuum(self) -> int:
+        """Delete what failed ingestions left behind; the number of deleted partitions. Not while another one runs."""
+        return sum(c.vacuum() for c in self.tables)
+
     def _stored(self, rows: DataFrame, schema: str) -> Collection:
         table = Collection(self.spark, f"{self.chunks.name}_{uuid.uuid4().hex[:12]}", schema)
         table.add(rows)
@@ -80,27 +93,44 @@ class Engine:
             for table in used:
                 table.drop()
 
-    def ingest_corpus(self, folder: str, force: bool = False, now: str = "") -> DataFrame:
-        """Load and index a folder unless the collection has rows; ``force`` empties it first. Returns the files
-        that could not be read (path, error) when it was loaded."""
+    def ingest_corpus(self, folder: str, force: bool = False, now: str = "", update: bool = False) -> DataFrame:
+        """Load and index a folder unless the collection has rows; ``force`` empties it first. With ``update`` files are
+        indexed that the collection hasn't seen with this path, time and size, whether it has rows or not: the others are
+        listed, not read. A file that changed is a new document beside the old one. Returns the files that could not be
+        read (path, error)."""
         if force:
             self.reset()
-        if not self.active.populated():
-            self.errors.reset()
-            with self.loaded(files.scan(self.spark, folder)) as loaded:
-                self.ingest(with_metadata(loaded, self.domain, now))
-                self.errors.add(loaded.where("error is not null"))
-        return self.errors.rows()
+        if update or not self.active.populated():
+            keys = ["path", "modified", "size"]
+            seen = self.files.rows().select(*keys)
+            new = self._stored(files.listing(self.spark, folder).join(seen, keys, "left_anti"), FILES)
+            try:
+                if new.populated():
+                    batch, domain = new_batch(), F.lit(self.domain)
+                    with self.loaded(files.contents(self.spark, folder, new.rows())) as loaded:
+                        self._write(with_metadata(loaded, self.domain, now), batch)
+                        self.errors.add(loaded.where("error is not null").withColumn("domain", domain), batch)
+                        self.files.add(new.rows().withColumn("domain", domain), batch)
+                    self.manifest.commit(batch)
+            finally:
+                new.drop()
+        return self.errors.rows().select("path", "error")
 
     def ingest(self, docs: DataFrame, enrich: bool = False) -> None:
-        """Index documents (document_id, source_file, domain, text, metadata) that the collection doesn't have."""
+        """Index documents (document_id, source_file, domain, text, metadata) that the collection doesn't have, all or
+        none."""
+        batch = new_batch()
+        self._write(docs, batch, enrich)
+        self.manifest.commit(batch)
+
+    def _write(self, docs: DataFrame, batch: str, enrich: bool = False) -> None:
         new = self.active.missing(docs)
         if self.mode == "parent-child":
             parent_id = F.concat_ws("_", F.lit("parent"), "document_id", F.col("parent_index").cast("string"))
             cut = chunks.parents_and_children(new).withColumn("parent_id", parent_id)
-            small = cut.select(F.concat_ws("_", F.lit("child"), "document_id", F.col("child_index").cast("string")).alias("id"), "parent_id", "document_id", "source_file", F.col("child").alias("document"), F.map_concat("metadata", F.create_map(F.lit("parent_id"), F.col("parent_id"), F.lit("chunk_type"), F.lit("child"))).alias("metadata"), embed(F.col("child"), self.embedder).alias("embedding"))
-            self.parents.add(chunks.parents(new).select(parent_id.alias("id"), "document_id", "source_file", F.col("parent").alias("document"), "metadata"))
-            self.children.add(small)
+            small = cut.select(F.concat_ws("_", F.lit("child"), "document_id", F.col("child_index").cast("string")).alias("id"), "parent_id", "document_id", "source_file", "domain", F.col("child").alias("document"), F.map_concat("metadata", F.create_map(F.lit("parent_id"), F.col("parent_id"), F.lit("chunk_type"), F.lit("child"))).alias("metadata"), embed(F.col("child"), self.embedder).alias("embedding"))
+            self.parents.add(chunks.parents(new).select(parent_id.alias("id"), "document_id", "source_file", "domain", F.col("parent").alias("document"), "metadata"), batch)
+            self.children.add(small, batch)
             return
         cut = chunks.structural(new)
         if enrich:
@@ -108,14 +138,12 @@ class Engine:
             cut = cut.withColumn("chunk", metadata.enriched(F.col("chunk"), meta, F.col("chunk_type"), self.domain))
         kept = chunks.indexable(cut, "document_id")
         more = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("chunk_type"), F.col("chunk_type"), F.lit("chunk_total"), F.col("chunk_total").cast("string"))
-        self.chunks.add(kept.select("id", "document_id", "source_file", "chunk_type", "domain", "chunk_index", "chunk_total", F.col("chunk").alias("document"), F.map_concat("metadata", more).alias("metadata"), embed(F.col("chunk"), self.embedder).alias("embedding")))
+        self.chunks.add(kept.select("id", "document_id", "source_file", "chunk_type", "domain", "chunk_index", "chunk_total", F.col("chunk").alias("document"), F.map_concat("metadata", more).alias("metadata"), embed(F.col("chunk"), self.embedder).alias("embedding")), batch)
 
     def search(self, questions: DataFrame, n_results: int = 5, filters: dict | None = None, most: float = context.MOST_DISTANCE, compat: bool = False) -> DataFrame:
         """query_id, rank, id, document, source_file, metadata, distance for ``questions`` (query_id, question)."""
         asked = questions.select("query_id", embed(F.col("question"), self.embedder).alias("query"))
-        rows = self.active.rows()
-        if filters:
-            rows = rows.where(metadata.where(F.col("metadata"), filters))
+        rows = self.active.matching(filters) if filters else self.active.rows()
         columns = ["id", "document", "source_file", "metadata", "embedding"]
         if self.mode != "parent-child":
             return search.top_k(rows.select(*columns), asked, n_results)

@@ -24,11 +24,34 @@ class PdfParser(Protocol):
     def blocks(self, content: bytes) -> list[tuple]: ...
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,xml,json}").load(folder)
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, content and kind of all files below ``folder`` whose suffix is, in lower case, .pdf, .xml or .json.
     Names that begin with a dot or underscore are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,xml,json}").load(folder)
-    return with_kind(files)
+    return with_kind(_files(spark, folder))
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modified (microseconds) and size of the files that ``scan`` reads, without reading any."""
+    return _files(spark, folder).select("path", F.unix_micros("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def contents(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """Like ``scan``, of the (stored) ``wanted`` rows of a listing alone. The range of their times is pushed into the scan,
+    which opens no other files; what it holds beside them goes before anything is parsed."""
+    span = wanted.agg(F.min("modified").alias("low"), F.max("modified").alias("high"), F.count("*").alias("n")).first()
+    if not span.n:
+        return scan(spark, folder).where("false")
+    time = F.col("modificationTime")
+    within = lambda f: f.where((time >= F.timestamp_micros(F.lit(span.low))) & (time <= F.timestamp_micros(F.lit(span.high))))
+    found = within(_files(spark, folder))
+    if found.select("path").count() > span.n:
+        keys = wanted.select("path", F.timestamp_micros("modified").alias("modificationTime"), F.col("size").alias("length"))
+        found = found.join(keys, ["path", "modificationTime", "length"], "left_semi")
+    return with_kind(found)
 
 
 def with_kind(files: DataFrame) -> DataFrame:
