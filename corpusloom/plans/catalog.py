@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata, text
 from ..functions.vectors import HashedEmbedder, embed
-from ..operators import chunks, context, extraction, pdf, search
+from ..operators import ann, chunks, context, extraction, pdf, search
 from ..sources import markup
 
 QUESTION = "the answer to a question of the house"
@@ -407,6 +407,12 @@ def vector_topk_batch(spark, sf_dir):
     return search.top_k(_vectors(spark, sf_dir), _questions(spark, sf_dir, 25), 5, digits=6)
 
 
+def vector_ann(spark, sf_dir):
+    """About the 10 nearest: an index of cells over all vectors, with as many probes as 95 % of the nearest of a sample need."""
+    index = ann.IvfIndex.build(_vectors(spark, sf_dir)).tuned(10, 0.95)
+    return index.search(_questions(spark, sf_dir, 25), 10, digits=6)
+
+
 def vector_topk_cosine(spark, sf_dir):
     return search.top_k(_vectors(spark, sf_dir), _questions(spark, sf_dir, 25), 5, metric="cosine", digits=6)
 
@@ -518,7 +524,7 @@ QUERIES = {
     for f in (
         sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
         collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
-        vector_topk, vector_topk_batch, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval,
+        vector_topk, vector_topk_batch, vector_ann, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval,
     )
 }
 ORACLES = {
