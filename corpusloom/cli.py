@@ -5,9 +5,8 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from .functions.text import preview
+from .operators import context
 from .plans.engine import MODES, Engine
 
 
@@ -25,7 +24,7 @@ def main(args: list[str] | None = None) -> None:
     if given.questions:
         asked = spark.createDataFrame(list(enumerate(given.questions)), "query_id long, question string")
         found = engine.search(asked)
-        found.select("query_id", "rank", "id", F.coalesce(F.format_string("%.4f", "distance"), F.lit("N/A")).alias("distance"), *[F.coalesce(F.col("metadata")[k], F.lit("N/A")).alias(k) for k in ("reference_complete", "dispositif", "chunk_type")], preview(F.col("document"), 200, always=True).alias("document")).orderBy("query_id", "rank").show(truncate=False)
+        context.shown(found).orderBy("query_id", "rank").show(truncate=False)
         engine.answer(asked).select("question", "answer").show(truncate=False)
 
 

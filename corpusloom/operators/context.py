@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import preview
+from .providers import Model, answered
+
 MOST_DISTANCE = 1.2
 NOTHING_FOUND = "Aucun passage des documents n'est assez proche de la question."
 #: Roles by domain; an unknown domain has the last one.
 ROLES = {"legal": "en droit", "municipal": "en documents municipaux", "medical": "en documents médicaux", "rh": "en ressources humaines", "technique": "en documentation technique", "tourisme": "en tourisme"}
 
 
-class Model(Protocol):
-    """Anything that can be pickled and answers prompts."""
-
-    def answer(self, prompts: list[str]) -> list[str]: ...
-
-
 class FirstPassage:
     """Offline default: the first passage of the prompt."""
 
@@ -46,16 +42,13 @@ def prompt(question: Column, context: Column, domain: str) -> Column:
 
 
 def answers(asked: DataFrame, domain: str, model: Model | None = None) -> DataFrame:
-    """``asked`` (question, context, ...) with answer; a failing model gives its error as the answer."""
+    """``asked`` (question, context, ...) with answer; a prompt that fails, alone, has its error as the answer."""
     provider = model or FirstPassage()
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            try:
-                yield pd.Series(provider.answer(prompts.tolist()))
-            except Exception as error:  # answers of the other batches stay
-                yield pd.Series([f"error: {error}"] * len(prompts))
+            yield pd.Series([f"error: {x}" if isinstance(x, Exception) else x for x in answered(provider, prompts.tolist())], dtype=object)
 
     full = prompt(F.col("question"), F.col("context"), domain)
     return asked.withColumn("answer", F.when(F.col("context") == "", NOTHING_FOUND).otherwise(run(full)))
@@ -72,3 +65,12 @@ def lexical_scores(rows: DataFrame) -> DataFrame:
     q, a, c = (words(F.col(x)) for x in ("question", "answer", "context"))
     share = lambda x, y: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
     return rows.withColumns({"faithfulness": share(a, c), "answer_relevancy": share(q, a), "context_precision": share(q, c)})
+
+
+def shown(results: DataFrame, chars: int = 200) -> DataFrame:
+    """Search results as they are displayed: distance with four digits, a few fields of the metadata, N/A for what is
+    missing, and the beginning of the text."""
+    missing = F.lit("N/A")
+    fields = [F.coalesce(F.col("metadata")[k], missing).alias(k) for k in ("reference_complete", "dispositif", "chunk_type")]
+    distance = F.coalesce(F.format_string("%.4f", "distance"), missing).alias("distance")
+    return results.select("query_id", "rank", "id", distance, *fields, preview(F.col("document"), chars, always=True).alias("document"))

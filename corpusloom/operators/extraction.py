@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metadata
-from .context import Model
+from .providers import Model, answered
 
 HEAD = 1500
 # The fields of each domain; an unknown domain has those of the last.
@@ -48,15 +48,12 @@ def validated(meta: Column, domain: str) -> Column:
 
 
 def extract(docs: DataFrame, domain: str, model: Model) -> DataFrame:
-    """``docs`` (text, ...) with extracted: map of the model's fields; empty if it fails or gives no JSON object."""
+    """``docs`` (text, ...) with extracted: map of the model's fields; empty where it fails for a text, or gives no JSON object."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            try:
-                yield pd.Series(model.answer(prompts.tolist()))
-            except Exception:  # a failing model gives no metadata
-                yield pd.Series([None] * len(prompts), dtype=object)
+            yield pd.Series([None if isinstance(x, Exception) else x for x in answered(model, prompts.tolist())], dtype=object)
 
-    answered = docs.withColumn("extracted", F.from_json(run(prompt(F.col("text"), domain)), "map<string,string>"))
-    return answered.withColumn("extracted", validated(F.coalesce("extracted", F.create_map().cast("map<string,string>")), domain))
+    filled = docs.withColumn("extracted", F.from_json(run(prompt(F.col("text"), domain)), "map<string,string>"))
+    return filled.withColumn("extracted", validated(F.coalesce("extracted", F.create_map().cast("map<string,string>")), domain))

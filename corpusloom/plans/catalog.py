@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import metadata, text
 from ..functions.vectors import HashedEmbedder, embed
 from ..operators import ann, chunks, context, extraction, pdf, search
-from ..sources import markup
+from ..operators.scratch import place
+from ..sources import elements, markup
+from .engine import Engine
 
 QUESTION = "the answer to a question of the house"
 #: Share of a source's documents on which a line must be to count as repeated.
@@ -287,6 +290,47 @@ select doc_id, '{"reference":"R ' || doc_id || '","date":"2024","attr_lang":"' |
 """
 
 
+def _as_xml(docs):
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
+    return F.concat(F.lit('<doc lang="'), "lang", F.lit('"><reference>R '), F.col("doc_id").cast("string"), F.lit("</reference><date>1999</date><Date> 2024 </Date><p>"), plain, F.lit(" <b>"), "lang", F.lit("</b> lost</p><note>"), "source", F.lit("</note></doc>"))
+
+
+def xml_element_rows(spark, sf_dir):
+    """Each document as an XML file, a row for each element."""
+    docs = _t(spark, sf_dir, "documents")
+    rows = elements.elements(docs.select("doc_id", "lang", "source", "text"), _as_xml(docs))
+    return rows.select("doc_id", "seq", "parent", "depth", "tag", elements.own_text(F.col("own")).alias("own"))
+
+
+XML_ROWS_SQL = r"""
+with d as (select doc_id, lang, source, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g'), ' +', ' ', 'g')) as p from documents)
+select doc_id, 0 as seq, null::int as parent, 0 as depth, 'doc' as tag, null as own from d
+union all select doc_id, 1, 0, 1, 'reference', 'R ' || doc_id from d union all select doc_id, 2, 0, 1, 'date', '1999' from d union all select doc_id, 3, 0, 1, 'Date', '2024' from d
+union all select doc_id, 4, 0, 1, 'p', p from d union all select doc_id, 5, 4, 2, 'b', lang from d union all select doc_id, 6, 0, 1, 'note', source from d
+"""
+
+
+def xml_elements_flat(spark, sf_dir):
+    """Metadata and content from element rows, by grouping."""
+    docs = _t(spark, sf_dir, "documents")
+    flat = elements.flattened(elements.elements(docs.select("doc_id", "lang", "source", "text"), _as_xml(docs)), "doc_id")
+    return flat.select("doc_id", "content", *[F.col("metadata")[k].alias(k) for k in ("reference", "date", "attr_lang")])
+
+
+XML_FLAT_SQL = r"""
+with d as (select *, trim(regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g')) as p from documents)
+select doc_id, case when p <> '' then p || chr(10) else '' end || '[b]: ' || lang || chr(10) || '[note]: ' || source as content, 'R ' || doc_id as reference, '2024' as date, lang as attr_lang from d
+"""
+
+
+def html_tag_texts(spark, sf_dir):
+    """How many elements of each tag of a page have a text of their own, and its length."""
+    pages = _t(spark, sf_dir, "pages")
+    own = elements.own_text(F.col("own"))
+    rows = elements.elements(pages.select("page_id", "html"), F.col("html"), html=True).where("tag not in ('script', 'style')").withColumn("own", own).where("own <> ''")
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum(F.length("own")).alias("n_chars"))
+
+
 class _TestModel:
     """Answers with a JSON object that depends on the length of the prompt."""
 
@@ -379,14 +423,18 @@ def html_flatten(spark, sf_dir):
     return pages.select("page_id", markup.flatten_html(F.col("html")).alias("content"))
 
 
-HTML_SQL = r"""
+HTML_TEXTS_SQL = r"""
 with c as (select page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') as h from pages),
 x as (select page_id, h, regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>([^<]+)', 1) as tags, regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>([^<]+)', 2) as texts from c),
 u as (select page_id, unnest(range(0, len(tags))) as i, unnest(tags) as tag, trim(regexp_replace(unnest(texts), '\s+', ' ', 'g')) as own from x),
 v as (select page_id, i, tag, replace(replace(replace(replace(replace(replace(own, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as own from u where own <> '')
+"""
+HTML_SQL = HTML_TEXTS_SQL + r"""
 select page_id, coalesce(content, '') as content from pages left join (select page_id, string_agg(case when tag in ('p', 'div', 'span') then own else '[' || tag || ']: ' || own end, chr(10) order by i) as content from v group by page_id) using (page_id)
 """
 
+HTML_TAGS_SQL = HTML_TEXTS_SQL + "select page_id, tag, count(*) as n, sum(length(own))::bigint as n_chars from v group by page_id, tag"
+
 # vectors
 
 
@@ -481,6 +529,41 @@ def extractive_answers(spark, sf_dir):
     return context.answers(context.contexts(found, most=1.9).join(asked, "query_id"), "tourisme").select("query_id", "answer")
 
 
+# ingestion of files
+
+#: Documents of one file.
+OF_A_FILE = 50
+
+
+def _ingested(spark, sf_dir) -> Engine:
+    """The documents, written as JSON files of OF_A_FILE documents each, in a collection of its own."""
+    docs = _docs(spark, sf_dir).where("text is not null")
+    of_file = docs.groupBy(F.floor(F.col("doc_id") / OF_A_FILE).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    entries = F.transform("d", lambda x: F.struct(F.concat(F.lit("d"), x["doc_id"].cast("string")), F.concat(F.lit("x "), x["text"])))
+    folder = place(spark, "files")
+    # a file holds the object of its first line, and each file is a folder's only row
+    of_file.select("file", F.map_from_entries(entries).alias("docs")).write.partitionBy("file").json(folder)
+    engine = Engine(spark, f"ingested_{uuid.uuid4().hex[:12]}")
+    engine.ingest_corpus(folder, update=True)
+    return engine
+
+
+def ingested_chunks(spark, sf_dir):
+    rows = _ingested(spark, sf_dir).chunks.matching({"domain": "tourisme", "source_type": "json"})
+    return rows.select("chunk_index", "chunk_total", F.md5("document").alias("md5"), F.length("document").alias("n_chars"))
+
+
+def ingested_search(spark, sf_dir):
+    engine = _ingested(spark, sf_dir)
+    asked = spark.createDataFrame([(0, QUESTION)], "query_id long, question string")
+    return engine.search(asked, 5).select("query_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+FILES_SQL = f"(select doc_id // {OF_A_FILE} as doc_id, chr(10) || 'Docs:' || chr(10) || string_agg('D' || doc_id || ': x ' || text, chr(10) order by doc_id) as text from documents where text is not null group by 1)"
+INGESTED_SQL = f"""
+with c as ({_structural_sql(FILES_SQL)}), k as (select * from c where length({_strip('chunk')}) >= 50)
+select chunk_index, count(*) over (partition by doc_id) as chunk_total, md5(chunk) as md5, length(chunk)::int as n_chars from k
+"""
 _WORD = r"[^\s.,;:!?|]+"
 TEXT_SQL = rf"""
 with w as ({WINDOWS_SQL}), k as (select *, doc_id || '_chunk_' || (row_number() over (partition by doc_id order by chunk_index) - 1) as id from w where length({_strip('chunk')}) >= 50),
@@ -514,6 +597,17 @@ def _share_sql(x: str, y: str) -> str:
     return f"round(case when len({x}) = 0 then 0.0 else len(list_intersect({x}, {y})) / len({x}) end, 6)"
 
 
+INGESTED_SEARCH_SQL = rf"""
+with c as ({_structural_sql(FILES_SQL)}), k as (select doc_id || '_' || chunk_index as id, chunk from c where length({_strip('chunk')}) >= 50),
+tok as (select id, unnest(regexp_extract_all(lower(chunk), '{_WORD}')) as t from k),
+cnt as (select id, ('0x' || substr(md5(t), 1, 8))::bigint % 64 as b, count(*) as c from tok group by all),
+len as (select id, sqrt(sum(c * c)) as l from cnt group by id),
+qt as (select ('0x' || substr(md5(t), 1, 8))::bigint % 64 as b, count(*) as c from (select unnest(regexp_extract_all('{QUESTION}', '{_WORD}')) as t) group by all),
+ql as (select sqrt(sum(c * c)) as l from qt),
+dots as (select id, sum(cnt.c * qt.c) as d from cnt join qt using (b) group by id),
+dist as (select round(case when len.l is null then 1.0 else 2 - 2 * coalesce(d, 0) / (len.l * (select l from ql)) end, 6) as distance from k left join len using (id) left join dots using (id))
+select 0::bigint as query_id, row_number() over (order by distance)::int as rank, distance from dist qualify row_number() over (order by distance) <= 5
+"""
 EVAL_SQL = f"""
 with r as (select q.conv_id, q.turn, {_words_sql('q.text')} as q, {_words_sql('a.text')} as a, {_words_sql("coalesce(c.text, '')")} as c from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 and a.role = 'assistant' left join conversations c on c.conv_id = q.conv_id and c.turn = q.turn - 1 where q.role = 'user')
 select conv_id, turn, {_share_sql('a', 'c')} as faithfulness, {_share_sql('q', 'a')} as answer_relevancy, {_share_sql('q', 'c')} as context_precision from r
@@ -523,8 +617,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
-        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
-        vector_topk, vector_topk_batch, vector_ann, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval,
+        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, xml_element_rows, xml_elements_flat, html_tag_texts, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
+        vector_topk, vector_topk_batch, vector_ann, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval, ingested_chunks, ingested_search,
     )
 }
 ORACLES = {
@@ -569,4 +663,9 @@ ORACLES = {
     "prompt_string": CONTEXT_SQL + f"select query_id, '{_RULES}' || chr(10) || chr(10) || '## Passages' || chr(10) || context || chr(10) || chr(10) || '## Question' || chr(10) || '{QUESTION}' as prompt from ctx",
     "extractive_answers": TEXT_SQL + "select query_id, document as answer from top where rank = 1 and distance <= 1.9",
     "rag_lexical_eval": EVAL_SQL,
+    "xml_element_rows": XML_ROWS_SQL,
+    "xml_elements_flat": XML_FLAT_SQL,
+    "html_tag_texts": HTML_TAGS_SQL,
+    "ingested_chunks": INGESTED_SQL,
+    "ingested_search": INGESTED_SEARCH_SQL,
 }
