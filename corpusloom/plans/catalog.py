@@ -12,7 +12,7 @@ from ..functions import metadata, text
 from ..functions.vectors import HashedEmbedder, embed
 from ..operators import ann, chunks, context, extraction, pdf, search
 from ..operators.scratch import place
-from ..sources import elements, markup
+from ..sources import elements, markup, variants
 from .engine import Engine
 
 QUESTION = "the answer to a question of the house"
@@ -257,13 +257,16 @@ def json_props(spark, sf_dir):
 PROPS_SQL = """select event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' as metadata, '' as content from events"""
 
 
+def _as_json(docs):
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
+    inner = F.struct(F.col("n_chars").alias("size"), F.concat(F.lit("a text of "), "source").alias("what_it_is"))
+    return F.to_json(F.struct(F.col("doc_id").cast("string").alias("ref_no"), (F.col("doc_id") % 2 == 0).alias("ok"), F.lit("2024-03-15").alias("day"), F.array("lang", "source").alias("tags"), inner.alias("more"), F.concat(F.lit("x "), plain).alias("body")))
+
+
 def json_documents(spark, sf_dir):
     """Each document as a JSON file, flattened: an id, a flag, a date, a list, a nested object and a text."""
     docs = _t(spark, sf_dir, "documents")
-    plain = F.regexp_replace("text", "[^A-Za-z0-9 .,]", " ")
-    inner = F.struct(F.col("n_chars").alias("size"), F.concat(F.lit("a text of "), "source").alias("what_it_is"))
-    data = F.struct(F.col("doc_id").cast("string").alias("ref_no"), (F.col("doc_id") % 2 == 0).alias("ok"), F.lit("2024-03-15").alias("day"), F.array("lang", "source").alias("tags"), inner.alias("more"), F.concat(F.lit("x "), plain).alias("body"))
-    flat = docs.select("doc_id", markup.flatten_json(F.to_json(data)).alias("f"))
+    flat = docs.select("doc_id", markup.flatten_json(_as_json(docs)).alias("f"))
     m = lambda key: F.col("f.metadata")[key]
     return flat.select("doc_id", F.col("f.content").alias("content"), *[m(k).alias(k.replace(".", "_")) for k in ("ref_no", "ok", "day", "tags_count", "more.size", "more.what_it_is_short", "body_short")])
 
@@ -275,6 +278,17 @@ select doc_id, 'Day: 15 mars 2024' || chr(10) || 'Tags: ' || lang || ', ' || sou
 """
 
 
+def json_variant_metadata(spark, sf_dir):
+    """The metadata of the same files without Python."""
+    docs = _t(spark, sf_dir, "documents")
+    flat = docs.select("doc_id", variants.json_metadata(_as_json(docs)).alias("f"))
+    m = lambda key: F.col("f.metadata")[key]
+    return flat.select("doc_id", F.col("f.error").alias("error"), *[m(k).alias(k.replace(".", "_")) for k in ("ref_no", "ok", "day", "tags_count", "more.size", "more.what_it_is_short", "body_short")])
+
+
+JSON_VARIANT_SQL = f"select * exclude (content), null as error from ({JSON_SQL})"
+
+
 def xml_documents(spark, sf_dir):
     """Each document as an XML file, flattened."""
     docs = _t(spark, sf_dir, "documents")
@@ -617,7 +631,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
-        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, xml_documents, xml_element_rows, xml_elements_flat, html_tag_texts, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
+        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, json_variant_metadata, xml_documents, xml_element_rows, xml_elements_flat, html_tag_texts, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
         vector_topk, vector_topk_batch, vector_ann, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval, ingested_chunks, ingested_search,
     )
 }
@@ -642,6 +656,7 @@ ORACLES = {
     "key_labels": LABELS_SQL,
     "json_props": PROPS_SQL,
     "json_documents": JSON_SQL,
+    "json_variant_metadata": JSON_VARIANT_SQL,
     "xml_documents": XML_SQL,
     "extracted_metadata": EXTRACTED_SQL,
     "domain_prompts": PROMPTS_SQL,
