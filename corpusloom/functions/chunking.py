@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import bound, overlap_tail, sentences, strip
 
+# Signs of a section, by domain.
+SECTION_SIGNS = {
+    "legal": {"procedure": "(?:Sur le pourvoi|Vu le pourvoi)", "recevabilite": "Sur la recevabilité", "motifs": "(?:Considérant que|Attendu que)", "dispositif": "PAR CES MOTIFS"},
+    "tourisme": {"hotel": "(HÔTEL|HOTEL|AUBERGE|RÉSIDENCE|MÔTEL)"},
+}
+
 
 def sliding_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` characters, each ``size - overlap`` after the one before. Empty text has none;
@@ -54,3 +60,14 @@ def structural_chunks(text: Column, size: int = 1500, overlap: int = 400) -> Col
     sentences, and joined again up to ``size``. A sentence is never cut."""
     split = lambda part: _fold(sentences(part), " ", size, overlap)
     return F.when(F.length(text) < size, F.array(text)).otherwise(_fold(blocks(text), "\n", size, overlap, split))
+
+
+def section(chunk: Column, domain: str) -> Column:
+    """The section whose sign comes first in the chunk (of signs at one place, the first of the domain's); null without a
+    sign, and in domains without signs."""
+    signs = SECTION_SIGNS.get(domain, {})
+    if not signs:
+        return F.lit(None).cast("string")
+    place = lambda sign: F.regexp_instr(chunk, F.lit(sign))
+    found = F.filter(F.array(*[F.struct(place(sign).alias("at"), F.lit(i).alias("nth"), F.lit(name).alias("name")) for i, (name, sign) in enumerate(signs.items())]), lambda x: x["at"] > 0)
+    return F.get(F.array_sort(found), 0)["name"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunking import sliding_windows, structural_chunks
+from ..functions.chunking import section, sliding_windows, structural_chunks
 from ..functions.text import strip
 
 #: Chunks whose stripped text is shorter are not indexed.
@@ -24,6 +24,11 @@ def structural(docs: DataFrame, size: int = 1500, overlap: int = 400, text: str
     return docs.select(*keep, kind, F.posexplode(structural_chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
 
 
+def with_sections(chunks: DataFrame, domain: str, chunk: str = "chunk") -> DataFrame:
+    """``chunks`` with their chunk_type changed to the section that they have a sign of, if any."""
+    return chunks.withColumn("chunk_type", F.coalesce(section(F.col(chunk), domain), "chunk_type"))
+
+
 PARENT_CHARS, CHILD_CHARS, CHILD_OVERLAP = 2500, 800, 200
 
 

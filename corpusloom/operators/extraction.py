@@ -57,3 +57,8 @@ def extract(docs: DataFrame, domain: str, model: Model) -> DataFrame:
 
     filled = docs.withColumn("extracted", F.from_json(run(prompt(F.col("text"), domain)), "map<string,string>"))
     return filled.withColumn("extracted", validated(F.coalesce("extracted", F.create_map().cast("map<string,string>")), domain))
+
+
+def extract_from_text(docs: DataFrame, model: Model, source_type: str = "pdf", domain: str = "tourisme") -> DataFrame:
+    """Another name of ``extract``; the kind of source makes no difference."""
+    return extract(docs, domain, model)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata, text
+from ..functions.chunking import SECTION_SIGNS
 from ..functions.vectors import HashedEmbedder, embed
 from ..operators import ann, chunks, context, extraction, pdf, search
 from ..operators.scratch import place
@@ -98,6 +99,12 @@ with p as (select doc_id, i, substr(text, (i * 2500 + 1)::bigint, 2500) as paren
 c as (select doc_id, i, parent, unnest(case when length(parent) <= 800 then [0] else range(0, ceil(length(parent) / 600)::bigint) end) as j from p)
 select doc_id, i::int as parent_index, (row_number() over (partition by doc_id order by i, j) - 1)::int as child_index, substr(parent, (j * 600 + 1)::bigint, 800) as child, length(parent)::int as parent_chars from c
 """
+_SIGNS_SQL = ", ".join(f"struct_pack(at := len(regexp_extract(chunk, '^(?s)(.*?)({sign})', 1)), nth := {i}, name := case when regexp_matches(chunk, '{sign}') then '{name}' end)" for i, (name, sign) in enumerate(SECTION_SIGNS["legal"].items()))
+SECTIONS_SQL = f"""
+with signed as (select doc_id, case when doc_id % 5 = 0 then 'Vu le pourvoi. ' else '' end || text || case doc_id % 3 when 0 then ' PAR CES MOTIFS. Attendu que' when 1 then ' Sur la recevabilité' else '' end as text from documents),
+w as ({WINDOWS_SQL.replace('from documents', 'from signed')})
+select doc_id, chunk_index, coalesce(list_sort(list_filter([{_SIGNS_SQL}], lambda s: s.name is not null))[1].name, 'general') as chunk_type from w
+"""
 STRUCTURAL_SQL = _structural_sql("documents")
 PARAGRAPHS_SQL = _structural_sql("(select doc_id, replace(text, chr(10), chr(10) || chr(10)) as text from documents)")
 VALID_SQL = f"""
@@ -106,6 +113,14 @@ select doc_id, doc_id || '_chunk_' || (row_number() over (partition by doc_id or
 """
 
 
+def section_types(spark, sf_dir):
+    """Chunks of documents in which signs of sections stand before and after the text."""
+    after = F.when(F.col("doc_id") % 3 == 0, " PAR CES MOTIFS. Attendu que").when(F.col("doc_id") % 3 == 1, " Sur la recevabilité").otherwise(F.lit(""))
+    before = F.when(F.col("doc_id") % 5 == 0, "Vu le pourvoi. ").otherwise(F.lit(""))
+    docs = _docs(spark, sf_dir).withColumn("text", F.concat(before, "text", after))
+    return chunks.with_sections(chunks.windows(docs, 800, 200).withColumn("chunk_type", F.lit("general")), "legal").select("doc_id", "chunk_index", "chunk_type")
+
+
 # metadata
 
 
@@ -337,6 +352,14 @@ select doc_id, case when p <> '' then p || chr(10) else '' end || '[b]: ' || lan
 """
 
 
+def root_namespaces(spark, sf_dir):
+    """Every other document in the name space of its source."""
+    docs = _t(spark, sf_dir, "documents")
+    space = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(' xmlns="urn:'), "source", F.lit('"'))).otherwise(F.lit(""))
+    text = F.concat(F.lit("<doc"), space, F.lit("><p>"), F.regexp_replace("text", "[^A-Za-z0-9 .,]", " "), F.lit("</p></doc>"))
+    return elements.root_namespaces(elements.elements(docs.select("doc_id", "source", "text"), text), "doc_id")
+
+
 def html_tag_texts(spark, sf_dir):
     """How many elements of each tag of a page have a text of their own, and its length."""
     pages = _t(spark, sf_dir, "pages")
@@ -630,8 +653,8 @@ select conv_id, turn, {_share_sql('a', 'c')} as faithfulness, {_share_sql('q', '
 QUERIES = {
     f.__name__: f
     for f in (
-        sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
-        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, json_variant_metadata, xml_documents, xml_element_rows, xml_elements_flat, html_tag_texts, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
+        sliding_windows, parent_child_chunks, structural_chunks, structural_chunks_paragraphs, section_types, chunk_validity_ids, enriched_chunks, outcome_and_vote, metadata_strings, metadata_where, metadata_where_numbers, source_contains,
+        collection_counts, get_by_ids, preview, document_ids, french_dates, iso_date_check, key_labels, json_props, json_documents, json_variant_metadata, xml_documents, xml_element_rows, xml_elements_flat, root_namespaces, html_tag_texts, extracted_metadata, domain_prompts, enriched_by_domain, repeated_lines, line_cleanup, page_layouts, reading_order, html_flatten,
         vector_topk, vector_topk_batch, vector_ann, vector_topk_cosine, vector_topk_filtered, vector_threshold, parent_rollup, parent_rollup_compat, hashed_text_search, context_string, prompt_string, extractive_answers, rag_lexical_eval, ingested_chunks, ingested_search,
     )
 }
@@ -679,6 +702,8 @@ ORACLES = {
     "extractive_answers": TEXT_SQL + "select query_id, document as answer from top where rank = 1 and distance <= 1.9",
     "rag_lexical_eval": EVAL_SQL,
     "xml_element_rows": XML_ROWS_SQL,
+    "root_namespaces": "select doc_id, case when doc_id % 2 = 0 then 'urn:' || source end as root_namespace from documents",
+    "section_types": SECTIONS_SQL,
     "xml_elements_flat": XML_FLAT_SQL,
     "html_tag_texts": HTML_TAGS_SQL,
     "ingested_chunks": INGESTED_SQL,

@@ -117,6 +117,11 @@ def flattened(rows: DataFrame, key: str) -> DataFrame:
     return whole.join(meta, key, "left").select(key, F.map_concat(F.coalesce("known", none), F.coalesce("roots", none)).alias("metadata"), "content")
 
 
+def root_namespaces(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and root_namespace (null without one) of the documents of XML element rows."""
+    return rows.where("parent is null and error is null").select(key, F.col("name_space").alias("root_namespace"))
+
+
 def own_text(own: Column) -> Column:
     """White space as one space, none at the ends."""
     return F.regexp_replace(strip(own), r"(?U)\s+", " ")
