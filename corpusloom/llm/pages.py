@@ -4,8 +4,10 @@ Two passes parse every page to a tree. The first hashes element subtrees and cou
 pages with different main parts each occurs, also by section (the first folder of the path); a subtree that
 recurs on many pages of its host or section is template. A subtree has two hashes: of its texts, and of its shape
 (tags, classes, ids and the kinds of its children, with the texts masked), because menus and adverts recur with
-other words. Shapes count only beside the article or main part of a page that marks one, and only where they hold
-no prose. Headings, paragraphs and list items count like any other subtree by their texts, in an article too;
+other words. Shapes count only beside the article or main part of the page, and only where they hold no prose. Where a page
+marks no such part, that is the innermost container that still has half of its prose (of its text outside of links, if
+no paragraph or heading marks prose), and a shape counts with its place, the path from the root; on pages without any prose
+shapes don't count. Headings, paragraphs and list items count like any other subtree by their texts, in an article too;
 parts of a sentence and cells of an article's table only go with the block that holds them.
 The second pass deletes template subtrees from the whole page. Then come the checks that need no counts: parts
 that HTML itself marks as no content (menus, headers, footers, asides, forms, scripts, notices, adverts, comments)
@@ -34,6 +36,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.3
 MANY_PAGES, SMALL_SHARE = 50, 0.01
 #: or, in a section (the first folder of the path), on so many of it and LEAST_SHARE.
 SECTION_PAGES = 10
+#: So many words in a row, beside the main part of a page that marks none, are prose.
+PROSE_WORDS = 25
 #: Template tables up to so many hashes are sent to all tasks; larger ones are joined by shuffle.
 BROADCAST_HASHES = 200_000
 
@@ -66,10 +70,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "hash", "shape", "marked")
+    __slots__ = ("tag", "attrs", "parts", "parent", "hash", "shape", "marked", "own")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
-        self.tag, self.attrs, self.parts, self.parent, self.hash, self.shape = tag, attrs, [], parent, 0, 0
+        self.tag, self.attrs, self.parts, self.parent, self.hash, self.shape, self.own = tag, attrs, [], parent, 0, 0, b""
         self.marked = parent is not None and (parent.marked or parent.tag in ("article", "main"))
 
 
@@ -190,7 +194,7 @@ def hashed(nodes: list[Node]) -> None:
         own = node.tag
         if node.attrs:
             own += " " + " ".join(max(v, key=len) for n, *v in ATTRIBUTE.findall(node.attrs) if n.lower() in ("class", "id"))
-        own = own.encode("utf-8", "replace")
+        node.own = own = own.encode("utf-8", "replace")
         h = hashlib.blake2b(own, digest_size=8)
         kinds: dict[int, None] = {}
         plain = not node.marked and node.tag not in PROSE
@@ -209,6 +213,45 @@ def hashed(nodes: list[Node]) -> None:
             node.shape = _number(hashlib.blake2b(own + b"\x02" + repr(list(kinds)).encode(), digest_size=8, person=b"shape"))
 
 
+def placed(nodes: list[Node]) -> None:
+    """For a page that marks no main part: shapes get their place, and only those keep one that are beside the main part
+    and hold no long run of words. Shapes must be set."""
+    sizes: dict[int, tuple[int, int, int, int]] = {}  # characters in prose, outside of links, words in a row, most of these
+    for node in reversed(nodes):
+        own = [x for x in node.parts if isinstance(x, str)] if node.tag not in RAW else []
+        text = sum(len(x.strip()) for x in own)
+        prose, free, row, most = 0, text, sum(len(x.split()) for x in own), 0
+        for x in node.parts:
+            if isinstance(x, Node) and x.tag not in NO_CONTENT:
+                of = sizes[id(x)]
+                prose, free, most = prose + of[0], free + of[1], max(most, of[3])
+                row += of[2] if x.tag in PARTS else 0
+        sizes[id(node)] = (free if node.tag in PROSE else prose, 0 if node.tag == "a" else free, row, max(row, most))
+    main = nodes[0]
+    weight = 0 if sizes[id(main)][0] else 1
+    if weight and sizes[id(main)][3] < PROSE_WORDS:  # nothing tells which part is the main one
+        for node in nodes:
+            node.shape = 0
+        return
+    while True:
+        inner = [x for x in main.parts if isinstance(x, Node) and x.tag not in PROSE and x.tag not in PARTS and x.tag not in NO_CONTENT]
+        best = max(inner, key=lambda x: sizes[id(x)][weight], default=None)
+        if best is None or not 0 < sizes[id(main)][weight] <= 2 * sizes[id(best)][weight]:
+            break
+        main = best
+    kept, up = {id(n) for n in _nodes(main)}, main
+    while up is not None:
+        kept.add(id(up))
+        up = up.parent
+    paths = {id(nodes[0]): b""}
+    for node in nodes:
+        if node.parent is not None:
+            paths[id(node)] = hashlib.blake2b(paths[id(node.parent)] + node.own, digest_size=8).digest()
+        if node.shape:
+            keep = id(node) in kept or sizes[id(node)][3] >= PROSE_WORDS
+            node.shape = 0 if keep else _number(hashlib.blake2b(paths[id(node)] + node.shape.to_bytes(8, "big", signed=True), digest_size=8, person=b"place"))
+
+
 def removable(node: Node) -> bool:
     """May be template by itself."""
     if node.tag in WHOLE_PAGE or node.tag in VOID or node.tag in RAW:
@@ -222,11 +265,10 @@ def candidates(source: str) -> tuple[int, set[int]]:
     hashed(nodes)
     roots = content_roots(nodes)
     main = hashlib.blake2b(repr([r.hash for r in roots]).encode(), digest_size=8)
+    if roots[0].tag == "#root":
+        placed(nodes)
     free = [n for n in nodes if removable(n)]
-    out = {n.hash for n in free}
-    if roots[0].tag != "#root":
-        out |= {n.shape for n in free if n.shape}
-    return _number(main), out
+    return _number(main), {n.hash for n in free} | {n.shape for n in free if n.shape}
 
 
 def extract(source: str, template: set[int]) -> str:
@@ -240,6 +282,8 @@ def extracted(source: str, template: set[int]) -> tuple[str, int]:
         hashed(nodes)
     roots = content_roots(nodes)
     marked = roots[0].tag != "#root"
+    if template and not marked:
+        placed(nodes)
     starts = {id(r) for r in roots}
     blocks: list[str] = []
     now: list[str] = []
@@ -264,7 +308,7 @@ def extracted(source: str, template: set[int]) -> tuple[str, int]:
                 now.append(x)
         else:
             root = marked and id(x) in starts
-            if template and not root and (x.hash in template or marked and x.shape in template) and removable(x):
+            if template and not root and (x.hash in template or x.shape and x.shape in template) and removable(x):
                 removed += 1
                 if x.tag in BLOCK:
                     end()
