@@ -4,8 +4,9 @@ A text's set is that of its five-word shingles, as 64-bit hashes. Equal sets are
 at or over the threshold share one of their first ``n - ceil(threshold * n) + 1`` shingles in any common
 order; the order used puts frequent shingles last. Those are the inverted lists.
 
-* Index: a list's entries hold set size and position. In the search, a list is cut into blocks by size, and
-  a pair of blocks, then a pair of entries, is skipped if sizes or positions leave too small an overlap.
+* Index: a list's entries hold set size and position. In the search, a long list is cut into blocks by size (many entries
+  of one size by hash). Blocks whose sizes are too far apart are never brought together; of the others a pair of
+  smaller blocks, then a pair of entries, is skipped if sizes or positions leave too small an overlap.
 * Answers: each set is first compared with one leader, the set of the smallest id that shares a list with it. Links to
   leaders give groups of highly similar sets. The search then takes answers over from the leader: sets
   that are already in one group need no comparison, and two sets whose known distances to their common
@@ -42,10 +43,14 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 18
 CHUNK_BYTES, COUNT_TOGETHER = 500_000, 1_000_000
 #: Longer lists are dealt out in blocks of about this size, a task for each pair of blocks.
 LIST_BLOCK = 4096
+#: Their sizes are known by so many quantiles.
+GRID = 256
 #: Lists that are known to be longer are gathered in parts of about so many entries.
 LIST_PART = 1000
 #: Comparisons with one set that one task makes; tables of up to so many rows are sent to all tasks.
 MEMBERS, BROADCAST_ROWS = 2000, 400_000
+#: Comparisons of one text in a row, and bytes of sets in a batch.
+TASKS, SET_BYTES = 1000, 64 << 20
 
 _POWER, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA5A5A5A5B5297A4D, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], np.uint64)
@@ -298,19 +303,30 @@ def compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     wanted = F.broadcast(tasks) if rows <= BROADCAST_ROWS else tasks
     # one row per class, so that copies of a text are not hashed again
-    needed = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", "tasks")
+    some = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("tasks") - 1) / TASKS).cast("int")), lambda i: F.slice("tasks", i * TASKS + 1, F.lit(TASKS))))
+    needed = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("id", "text", some.alias("tasks"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], []]
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["a", "part", "role", "id", "hashes"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                out: list[list] = [[], [], [], [], []]
                 for name, own, work in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), part.column(2).to_pylist()):
                     raw = own.tobytes()
                     for t in work:
                         for column, v in zip(out, (t["a"], t["part"], t["role"], name, raw)):
                             column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["a", "part", "role", "id", "hashes"])
+                        size += len(raw)
+                        if size >= SET_BYTES:
+                            yield rows()
+                            out, size = [[], [], [], [], []], 0
+                yield rows()
+                out, size = [[], [], [], [], []], 0
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, []
@@ -340,6 +356,37 @@ def similar(compared: DataFrame) -> DataFrame:
     return compared.where(DENOMINATOR * F.col("overlap") >= NUMERATOR * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def dealt(lists: DataFrame, entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """token, b1, b2, n, at, id, component, apart: the entries of the lists in ``sizes`` (token, blocks), once where a list is
+    one block, else once for each pair of blocks b1 <= b2 that has theirs and whose sizes can be similar."""
+    rest = ["n", "at", "id", "component", "apart"]
+    long = sizes.where("blocks > 2")
+    n_long = long.count()
+    if not n_long:
+        zero = F.lit(0).cast("long")
+        return entries.join(sizes, "token", "left_semi").select("token", zero.alias("b1"), zero.alias("b2"), *rest)
+    sent = F.broadcast if n_long <= BROADCAST_ROWS else lambda df: df
+    shares = [i / GRID for i in range(GRID + 1)]
+    seen = lists.join(sent(long), "token").groupBy("token", "blocks").agg(F.percentile_approx("n", shares, 10 * GRID).alias("grid"), F.min("n").alias("least"), F.max("n").alias("most"))
+    classes = F.least(F.lit(GRID), F.col("blocks")).cast("int")
+    # sizes from bounds[c] to bounds[c + 1] are of class c; a size that fills several classes is dealt out among them by hash
+    inner = F.transform(F.sequence(F.lit(1), classes - 1), lambda c: F.get("grid", F.floor(c * GRID / classes).cast("int")))
+    bounds = F.concat(F.array("least"), inner, F.array("most"))
+    known = stored(seen.select("token", classes.alias("classes"), F.ceil(F.col("blocks") / GRID).cast("int").alias("parts"), bounds.alias("bounds")), "long-list-sizes")
+    rows = entries.join(sizes.select("token"), "token").join(sent(known), "token", "left")
+    within = lambda test: F.size(F.filter(F.slice("bounds", F.lit(2), F.col("classes") - 1), test))
+    low, high = within(lambda x: x < F.col("n")), within(lambda x: x <= F.col("n"))
+    hashed = F.xxhash64("id")
+    rows = rows.withColumn("class", low + F.pmod(hashed, (high - low + 1).cast("long")).cast("int"))
+    rows = rows.withColumn("own", F.col("class").cast("long") * F.col("parts") + F.pmod(F.xxhash64(hashed), F.col("parts").cast("long")))
+    at = lambda i: F.get("bounds", i.cast("int"))
+    near = lambda c: (NUMERATOR * at(F.col("class")) <= DENOMINATOR * at(c + 1)) & (NUMERATOR * at(c) <= DENOMINATOR * at(F.col("class") + 1))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("classes").cast("long") * F.col("parts") - 1), lambda o: near(F.floor(o / F.col("parts"))))
+    pairs = F.transform(others, lambda o: F.struct(F.least("own", o).alias("b1"), F.greatest("own", o).alias("b2")))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2")))
+    return rows.select("token", F.explode(F.when(F.col("bounds").isNull(), one).otherwise(pairs)).alias("k"), *rest).select("token", "k.b1", "k.b2", *rest)
+
+
 def search(lists: DataFrame, groups: DataFrame, compared: DataFrame) -> DataFrame:
     """Distinct pairs a < b that share a list, are not in one group, and that nothing rules out."""
     known = compared.groupBy(F.col("a").alias("leader"), F.col("b").alias("id")).agg(F.max(F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("likeness"))
@@ -347,10 +394,7 @@ def search(lists: DataFrame, groups: DataFrame, compared: DataFrame) -> DataFram
     apart = F.when(F.col("id") == F.col("leader"), F.lit(0.0)).otherwise(1.0 - F.col("likeness"))
     entries = entries.select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"), F.coalesce(apart, F.lit(-1.0)).alias("apart"))
     sizes = entries.groupBy("token").agg(F.count("*").alias("entries"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", F.ceil(F.col("entries") / LIST_BLOCK).alias("blocks"))
-    blocks = F.when(F.col("blocks") > 2, F.col("blocks")).otherwise(F.lit(1))
-    own = F.pmod(F.xxhash64("id"), blocks)
-    work = entries.join(sizes, "token").select("token", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda o: F.struct(F.least(own, o).alias("b1"), F.greatest(own, o).alias("b2")))).alias("k"), "n", "at", "id", "component", "apart")
-    work = work.select("token", "k.b1", "k.b2", "n", "at", "id", "component", "apart").repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n", "at")
+    work = dealt(lists, entries, stored(sizes, "list-sizes")).repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most, waiting, size = 1.0 - NUMERATOR / DENOMINATOR + 1e-9, [], 0
