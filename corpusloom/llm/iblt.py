@@ -132,24 +132,30 @@ def text_of(cells: Column) -> Column:
 
 
 def ranged(docs: DataFrame) -> DataFrame:
-    """doc_id, text, bucket, order: ranges of the order of documents, later ones have smaller numbers. Ids that many
+    """doc_id, text, bucket, order: ranges of the order of documents, later ones have smaller numbers. Ranges between
+    quantiles of all ids are cut again at quantiles of their own ids, so gaps between ids don't matter. Ids that many
     rows share, and null ids, are cut by ``order``, a hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / RANGES for i in range(RANGES + 1)]
     known = rows.agg(F.percentile_approx("doc_id", shares, 10 * RANGES).alias("ids"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     ids, wanted = known["ids"] or [0], max(1, -(-(known["bytes"] or 0) // RANGE_BYTES))
     n = min(wanted, RANGES)
-    parts = -(-wanted // n)
+    parts = min(RANGES, -(-wanted // n))
     hot = [i for i, times in Counter(ids).items() if times > 2] if known["n"] > 10 * RANGES else []
     bounds = sorted({ids[i * (len(ids) - 1) // n] for i in range(n + 1)} | set(hot))
     edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
     spot = F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
-    low, high = F.element_at(edges, F.greatest(F.lit(1), F.col("spot"))), F.element_at(edges, F.least(F.lit(len(bounds)), F.col("spot") + 1))
-    fine = F.when(high > low, F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - low).cast("double") * parts / (high - low)))).otherwise(F.lit(0))
+    rows = rows.withColumn("spot", spot).withColumn("order", F.xxhash64("text"))
+    fine = F.lit(0)
+    if parts > 1:
+        # at most RANGES * RANGES numbers
+        cuts = rows.where("doc_id is not null").groupBy("spot").agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * RANGES).alias("cuts"))
+        rows = rows.join(F.broadcast(stored(cuts, "cuts")), "spot", "left")
+        fine = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<long>")), lambda c: c <= F.col("doc_id")))
     by_text = F.least(F.lit(n - 1), F.floor((F.col("order").cast("double") / 2.0**64 + 0.5) * n))
     in_range = F.when(F.col("doc_id").isin(hot), n - 1 - by_text).otherwise(n + fine)
     bucket = F.when(F.col("doc_id").isNull(), -1 - by_text).otherwise(F.col("spot") * (n + parts) + in_range).cast("long")
-    return rows.withColumn("spot", spot).withColumn("order", F.xxhash64("text")).select("doc_id", "text", bucket.alias("bucket"), "order")
+    return rows.select("doc_id", "text", bucket.alias("bucket"), "order")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
