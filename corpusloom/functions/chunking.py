@@ -28,11 +28,16 @@ def sliding_windows(text: Column, size: int, overlap: int) -> Column:
     )
 
 
+#: Parts that are folded together. A fold copies its state at every step, so chunks that are put out move to an outer
+#: state after so many steps, which keeps long texts linear.
+STEPS = 128
+
+
 def _fold(parts: Column, joint: str, size: int, overlap: int, large=None) -> Column:
     """Join parts up to ``size``; a chunk that is put out leaves its tail as the start of the next. The state has the
     chunk that grows, its length, and what is put out."""
     state = lambda now, n, out: F.struct(now.alias("now"), n.alias("n"), out.alias("out"))
-    glue = F.lit(joint)
+    glue, nothing = F.lit(joint), F.array().cast("array<string>")
 
     def merge(s: Column, part: Column) -> Column:
         joined = state(F.concat(s["now"], glue, part), s["n"] + len(joint) + F.length(part), s["out"])
@@ -44,10 +49,19 @@ def _fold(parts: Column, joint: str, size: int, overlap: int, large=None) -> Col
         # a part over the size is put out at once, before what is waiting
         return F.when(F.length(part) > size, state(s["now"], s["n"], F.concat(s["out"], large(part)))).otherwise(step)
 
+    def merge_some(s: Column, some: Column) -> Column:
+        inner = F.aggregate(some, state(s["now"], s["n"], nothing), merge)
+        return bound(inner, lambda r: state(r["now"], r["n"], F.concat(s["out"], r["out"])))
+
     def finish(s: Column) -> Column:
         return bound(strip(s["now"]), lambda now: F.when(now == "", s["out"]).otherwise(F.array_append(s["out"], now)))
 
-    return F.aggregate(parts, state(F.lit(""), F.lit(0), F.array().cast("array<string>")), merge, finish)
+    def whole(p: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(p) / STEPS).cast("int") - 1)
+        some = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(p, i * STEPS + 1, F.lit(STEPS)))
+        return F.aggregate(some, state(F.lit(""), F.lit(0), nothing), merge_some, finish)
+
+    return bound(parts, whole)
 
 
 def blocks(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chunking import section, sliding_windows, structural_chunks
-from ..functions.text import strip
+from ..functions.text import bound, strip
 
 #: Chunks whose stripped text is shorter are not indexed.
 LEAST_CHARS = 50
@@ -56,6 +56,20 @@ def indexable(chunks: DataFrame, document: str, chunk: str = "chunk") -> DataFra
     return kept.withColumn("id", F.concat(F.col(document).cast("string"), F.lit("_chunk_"), position.cast("string"))).withColumn("chunk_total", F.count("*").over(of_document))
 
 
+def indexed(docs: DataFrame, document: str, size: int = 1500, overlap: int = 400, text: str = "text") -> DataFrame:
+    """What ``indexable(structural(docs))`` gives where a document is one row: its chunks are numbered and counted before
+    they become rows, without a shuffle."""
+    keep = [c for c in docs.columns if c != text]
+    kind = F.when(F.length(text) < size, "full_document").otherwise("general").alias("chunk_type")
+    pieces = F.transform(structural_chunks(F.col(text), size, overlap), lambda c, i: F.struct(i.alias("chunk_index"), c.alias("chunk")))
+    long = F.filter(pieces, lambda p: F.length(strip(p["chunk"])) >= LEAST_CHARS)
+    # bound to one name, so that the chunks are not made again for their number
+    made = F.flatten(bound(long, lambda p: F.array(F.transform(p, lambda x: F.struct(F.size(p).cast("long").alias("chunk_total"), x.alias("piece"))))))
+    rows = docs.select(*keep, kind, F.posexplode(made).alias("_position", "_made"))
+    number = F.concat(F.col(document).cast("string"), F.lit("_chunk_"), F.col("_position").cast("string"))
+    return rows.select(*keep, "chunk_type", number.alias("id"), F.col("_made.chunk_total"), F.col("_made.piece.chunk_index"), F.col("_made.piece.chunk"))
+
+
 def document_id(kind: Column, path: Column, content_hash: Column) -> Column:
     """'{type}_{stem}_{8 hex}', the same for the same file."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

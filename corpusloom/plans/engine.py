@@ -132,11 +132,12 @@ class Engine:
             self.parents.add(chunks.parents(new).select(parent_id.alias("id"), "document_id", "source_file", "domain", F.col("parent").alias("document"), "metadata"), batch)
             self.children.add(small, batch)
             return
-        cut = chunks.structural(new)
         if enrich:
             meta = {k: F.col("metadata")[k] for k in ("reference_complete", "juridiction", "date_decision", "numero_pourvoi", "dispositif")}
-            cut = cut.withColumn("chunk", metadata.enriched(F.col("chunk"), meta, F.col("chunk_type"), self.domain))
-        kept = chunks.indexable(cut, "document_id")
+            cut = chunks.structural(new)
+            kept = chunks.indexable(cut.withColumn("chunk", metadata.enriched(F.col("chunk"), meta, F.col("chunk_type"), self.domain)), "document_id")
+        else:
+            kept = chunks.indexed(new, "document_id")
         more = F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("chunk_type"), F.col("chunk_type"), F.lit("chunk_total"), F.col("chunk_total").cast("string"))
         self.chunks.add(kept.select("id", "document_id", "source_file", "chunk_type", "domain", "chunk_index", "chunk_total", F.col("chunk").alias("document"), F.map_concat("metadata", more).alias("metadata"), embed(F.col("chunk"), self.embedder).alias("embedding")), batch)
 

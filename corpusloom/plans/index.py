@@ -66,7 +66,7 @@ class Collection:
     def create(self) -> None:
         parts = f"PARTITIONED BY (domain, batch) TBLPROPERTIES ('manifest' = '{self.manifest.name}')" if self.manifest else ""
         columns = f"{self.schema}, {PARTITIONS}" if self.manifest else self.schema
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet {parts}")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet OPTIONS (compression 'zstd') {parts}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

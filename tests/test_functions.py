@@ -108,3 +108,15 @@ def test_embedding_has_length_one():
     assert abs((v[0] ** 2).sum() - 1) < 1e-12 and not v[1].any()
     with pytest.raises(ValueError):
         distance(None, None, "unknown")
+
+
+def test_folds_in_steps_are_one_fold(spark, monkeypatch):
+    from corpusloom.functions import chunking
+
+    texts = [(i, ("\n\n" if i % 2 else " ").join(f"Sentence {k} of text {i}." + " word" * (k % 17) for k in range(5 * i))) for i in range(40)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    found = []
+    for steps in (1, 3, 100_000):
+        monkeypatch.setattr(chunking, "STEPS", steps)
+        found.append({r.id: r.c for r in df.select("id", chunking.structural_chunks(F.col("text"), 300, 80).alias("c")).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0][39]) > 10

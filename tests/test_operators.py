@@ -93,3 +93,14 @@ def test_questions_go_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, search.top_k(vectors, asked, 4).collect()))
     monkeypatch.setattr(search, "QUESTION_BLOCK", 3)
     assert sorted(map(tuple, search.top_k(vectors, asked, 4).collect())) == want and len(want) == 40
+
+
+def test_chunks_are_numbered_with_and_without_a_shuffle(spark, small):
+    from corpusloom.operators import chunks
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text")
+    docs = docs.unionByName(spark.createDataFrame([(9001, "en", ""), (9002, "en", None), (9003, "en", "short"), (9004, "en", "x. " * 2000)], docs.schema))
+    columns = ["doc_id", "lang", "id", "chunk_type", "chunk_index", "chunk_total", "chunk"]
+    want = sorted(map(tuple, chunks.indexable(chunks.structural(docs), "doc_id").select(columns).collect()))
+    got = chunks.indexed(docs, "doc_id").select(columns)
+    assert sorted(map(tuple, got.collect())) == want and "Exchange" not in got._jdf.queryExecution().toString()
