@@ -37,3 +37,11 @@ def test_rows_of_a_document(spark):
     got = elements.elements(page, F.col("text"), html=True).orderBy("seq").collect()
     assert [(r.seq, r.parent, r.tag, r.own, r.attributes) for r in got] == [(0, None, "div", "a&b", {"class": "x"}), (1, 0, "br", "c", {}), (2, 0, "p", "d", {}), (3, None, "p", "e", {})]
     assert elements.elements(page.limit(0), F.col("text")).count() == 0
+
+
+#: A reference that isn't closed stays in texts; scripts and attributes are as before.
+UNCLOSED = '<title>a&amp;b &amp</title><p title="x &amp y &copy;">&#233;&#xe9; &ampx; &quot a&b &nosuch; &amp;lt;<script>a && b &amp; c</script><b>&copy;&copy'
+
+
+def test_flattened_references_without_semicolon_stay():
+    assert markup.html_document(UNCLOSED)[1].split("\n") == ["[title]: a&b &amp", "éé &ampx; &quot a&b &nosuch; &lt;", "[b]: ©&copy"]
