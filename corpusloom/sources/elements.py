@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ElementTree
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .markup import UNLABELLED, XML_METADATA, XML_SKIPPED
+from .markup import UNLABELLED, XML_METADATA, XML_SKIPPED, ClosedReferences
 
 ELEMENT = "seq int, parent int, depth int, name_space string, tag string, own string, attributes map<string,string>, error string"
 #: Elements of HTML that have no end tag.
@@ -41,15 +40,15 @@ def _xml(text: str) -> Iterator[tuple]:
             seq += 1
 
 
-class _Rows(HTMLParser):
+class _Rows(ClosedReferences):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.rows: list[list] = []
         self.open: list[int] = []
         self.fresh = False
 
     def handle_starttag(self, tag, attrs):
-        self.rows.append([len(self.rows), self.open[-1] if self.open else None, len(self.open), None, tag, None, {k: v or "" for k, v in attrs}, None])
+        self.rows.append([len(self.rows), self.open[-1] if self.open else None, len(self.open), None, tag, None, {k: self.written(v or "") for k, v in attrs}, None])
         self.fresh = True
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
@@ -63,7 +62,7 @@ class _Rows(HTMLParser):
 
     def handle_data(self, data):
         if self.fresh and self.rows:
-            self.rows[-1][5] = data
+            self.rows[-1][5] = self.written(data)
         self.fresh = False
 
 
@@ -77,8 +76,7 @@ class _HtmlElements:
     def eval(self, text):
         if text is not None:
             rows = _Rows()
-            rows.feed(text)
-            rows.close()
+            rows.read(text)
             yield from map(tuple, rows.rows)
 
 

@@ -45,3 +45,10 @@ UNCLOSED = '<title>a&amp;b &amp</title><p title="x &amp y &copy;">&#233;&#xe9; &
 
 def test_flattened_references_without_semicolon_stay():
     assert markup.html_document(UNCLOSED)[1].split("\n") == ["[title]: a&b &amp", "éé &ampx; &quot a&b &nosuch; &lt;", "[b]: ©&copy"]
+
+
+def test_references_of_rows_without_semicolon_stay(spark):
+    got = elements.elements(spark.createDataFrame([(UNCLOSED,)], "text string"), F.col("text"), html=True).orderBy("seq").collect()
+    texts = [("title", "a&b &amp"), ("p", "éé &ampx; &quot a&b &nosuch; &lt;"), ("script", "a && b &amp; c"), ("b", "©&copy")]
+    assert [(r.tag, r.own) for r in got] == texts
+    assert got[1].attributes == {"title": "x & y ©"}
