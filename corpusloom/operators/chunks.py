@@ -21,7 +21,10 @@ def windows(docs: DataFrame, size: int, overlap: int, text: str = "text") -> Dat
 def structural(docs: DataFrame, size: int = 1500, overlap: int = 400, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text]
     kind = F.when(F.length(text) < size, "full_document").otherwise("general").alias("chunk_type")
-    return docs.select(*keep, kind, F.posexplode(structural_chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
+    # what needs the whole text is done before there are rows, else every chunk takes the text along; the outer form isn't
+    # preceded by a filter that makes all chunks once more
+    cut = docs.select(*keep, kind, structural_chunks(F.col(text), size, overlap).alias("_made"))
+    return cut.select(*keep, "chunk_type", F.posexplode_outer("_made").alias("chunk_index", "chunk")).where("chunk_index is not null")
 
 
 def with_sections(chunks: DataFrame, domain: str, chunk: str = "chunk") -> DataFrame:
@@ -65,7 +68,8 @@ def indexed(docs: DataFrame, document: str, size: int = 1500, overlap: int = 400
     long = F.filter(pieces, lambda p: F.length(strip(p["chunk"])) >= LEAST_CHARS)
     # bound to one name, so that the chunks are not made again for their number
     made = F.flatten(bound(long, lambda p: F.array(F.transform(p, lambda x: F.struct(F.size(p).cast("long").alias("chunk_total"), x.alias("piece"))))))
-    rows = docs.select(*keep, kind, F.posexplode(made).alias("_position", "_made"))
+    # as in structural, no chunk takes the text along
+    rows = docs.select(*keep, kind, made.alias("_all")).select(*keep, "chunk_type", F.posexplode_outer("_all").alias("_position", "_made")).where("_position is not null")
     number = F.concat(F.col(document).cast("string"), F.lit("_chunk_"), F.col("_position").cast("string"))
     return rows.select(*keep, "chunk_type", number.alias("id"), F.col("_made.chunk_total"), F.col("_made.piece.chunk_index"), F.col("_made.piece.chunk"))
 

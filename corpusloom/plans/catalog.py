@@ -568,8 +568,8 @@ def extractive_answers(spark, sf_dir):
 
 # ingestion of files
 
-#: Documents of one file.
-OF_A_FILE = 50
+#: Documents of one file, and files of one folder.
+OF_A_FILE, OF_A_FOLDER = 50, 1000
 
 
 def _ingested(spark, sf_dir) -> Engine:
@@ -578,8 +578,8 @@ def _ingested(spark, sf_dir) -> Engine:
     of_file = docs.groupBy(F.floor(F.col("doc_id") / OF_A_FILE).alias("file")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
     entries = F.transform("d", lambda x: F.struct(F.concat(F.lit("d"), x["doc_id"].cast("string")), F.concat(F.lit("x "), x["text"])))
     folder = place(spark, "files")
-    # a file holds the object of its first line, and each file is a folder's only row
-    of_file.select("file", F.map_from_entries(entries).alias("docs")).write.partitionBy("file").json(folder)
+    # a file is one row; few folders are listed sooner than one for each file
+    of_file.select(F.floor(F.col("file") / OF_A_FOLDER).alias("folder"), F.map_from_entries(entries).alias("docs")).write.option("maxRecordsPerFile", 1).partitionBy("folder").json(folder)
     engine = Engine(spark, f"ingested_{uuid.uuid4().hex[:12]}")
     engine.ingest_corpus(folder, update=True)
     return engine

@@ -42,3 +42,11 @@ def test_every_sql_has_its_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_ingested_files_share_folders(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "place", lambda spark, name: str(tmp_path / name))
+    n = catalog._ingested(spark, small).files.rows().count()
+    files = list((tmp_path / "files").glob("*/*.json"))
+    assert len(files) == n == spark.read.parquet(f"{small}/documents.parquet").where("text is not null").selectExpr("count(distinct doc_id div 50) n").first().n
+    assert len({f.parent for f in files}) == 1 and all(f.read_text().count("\n") == 1 for f in files)

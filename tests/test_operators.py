@@ -1,4 +1,4 @@
-from corpusloom.operators import context, pdf, search
+from corpusloom.operators import chunks, context, pdf, search
 
 BLOCK = "doc string, page int, width double, block_seq int, x0 double, y0 double, x1 double, text string, block_type int"
 
@@ -104,3 +104,14 @@ def test_chunks_are_numbered_with_and_without_a_shuffle(spark, small):
     want = sorted(map(tuple, chunks.indexable(chunks.structural(docs), "doc_id").select(columns).collect()))
     got = chunks.indexed(docs, "doc_id").select(columns)
     assert sorted(map(tuple, got.collect())) == want and "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_texts_are_cut_once_and_left_behind(spark, tmp_path):
+    spark.createDataFrame([(1, "a. " * 2000), (2, ""), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for cut, counted in ((chunks.structural(docs), {1: 5, 2: 1}), (chunks.indexed(docs, "doc_id"), {1: 4})):
+        plan = cut._jdf.queryExecution().optimizedPlan().toString()
+        # nothing above the rows of chunks needs the text, and no filter below makes the chunks once more
+        assert "text#" not in plan.partition("Generate")[0]
+        assert not [x for x in plan.splitlines() if "Filter" in x and "text#" in x]
+        assert {r.doc_id: r["count"] for r in cut.groupBy("doc_id").count().collect()} == counted
