@@ -38,9 +38,9 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-#: md5 numbers of words, for all batches of a worker; emptied beyond so many.
+#: md5 numbers of words of up to LONGEST characters, for all batches of a worker: never more than REMEMBERED.
 _numbers: dict[str, int] = {}
-REMEMBERED = 500_000
+REMEMBERED, LONGEST = 1 << 15, 64
 
 
 class HashedEmbedder:
@@ -51,14 +51,16 @@ class HashedEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        if len(_numbers) > REMEMBERED:
-            _numbers.clear()
         for i, text in enumerate(texts):
             numbers = []
             for word in re.findall(r"[^\s.,;:!?|]+", (text or "").lower()):
                 n = _numbers.get(word)
                 if n is None:
-                    n = _numbers[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+                    n = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+                    if len(word) <= LONGEST:
+                        if len(_numbers) >= REMEMBERED:
+                            _numbers.clear()
+                        _numbers[word] = n
                 numbers.append(n % self.dim)
             if numbers:
                 out[i] = np.bincount(numbers, minlength=self.dim)

@@ -1,9 +1,11 @@
+import hashlib
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import chunking, metadata, text
+from corpusloom.functions import chunking, metadata, text, vectors
 from corpusloom.functions.vectors import HashedEmbedder, distance
 from corpusloom.operators import chunks
 from corpusloom.sources import markup
@@ -120,3 +122,12 @@ def test_folds_in_steps_are_one_fold(spark, monkeypatch):
         monkeypatch.setattr(chunking, "STEPS", steps)
         found.append({r.id: r.c for r in df.select("id", chunking.structural_chunks(F.col("text"), 300, 80).alias("c")).collect()})
     assert found[0] == found[1] == found[2] and len(found[0][39]) > 10
+
+
+def test_hashed_embedder_remembers_few_words():
+    words = [f"w{i}" for i in range(3 * vectors.REMEMBERED)]
+    texts = [" ".join(words), "w1 " + "x" * 1000, None]
+    got = vectors.HashedEmbedder(8).embed(texts)
+    assert len(vectors._numbers) <= vectors.REMEMBERED and max(map(len, vectors._numbers)) <= 64
+    counts = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8 for w in words], minlength=8)
+    assert np.allclose(got[0], counts / np.sqrt((counts * counts).sum())) and not got[2].any()
