@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bound, overlap_tail, sentences, strip
-
 # Signs of a section, by domain.
 SECTION_SIGNS = {
     "legal": {"procedure": "(?:Sur le pourvoi|Vu le pourvoi)", "recevabilite": "Sur la recevabilité", "motifs": "(?:Considérant que|Attendu que)", "dispositif": "PAR CES MOTIFS"},
@@ -28,52 +30,58 @@ def sliding_windows(text: Column, size: int, overlap: int) -> Column:
     )
 
 
-#: Parts that are folded together. A fold copies its state at every step, so chunks that are put out move to an outer
-#: state after so many steps, which keeps long texts linear.
+#: Texts that a worker cuts in one step: their chunks go out before the next texts are cut.
 STEPS = 128
+# White space as (?U)\s has it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK_LINES = re.compile(rf"\n[{_SPACE}]*\n")
+# white space after the end of a sentence; to begin with the class is what makes the search fast
+_AFTER_SENTENCE = re.compile(rf"[{_SPACE}](?<=[.!?].)[{_SPACE}]*", re.DOTALL)
+
+
+def _tail(text: str, size: int) -> str:
+    """The last two sentences, or the last ``size`` characters where there are at most two."""
+    found = _AFTER_SENTENCE.split(text.strip(_SPACE))
+    return " ".join(found[-2:]) if len(found) > 2 else text[-size:] if size > 0 else ""
+
+
+def _fold(parts: list[str], joint: str, size: int, overlap: int, large: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Join parts up to ``size``; a chunk that is put out leaves its tail as the start of the next. A part over the size goes
+    through ``large``, if given, and is put out at once, before what is waiting."""
+    now, out = "", []
+    for part in parts:
+        if large is not None and len(part) > size:
+            out += large(part)
+        elif len(now) + len(part) <= size:
+            now += joint + part
+        else:
+            out.append(now.strip(_SPACE))
+            now = _tail(now, overlap) + joint + part
+    last = now.strip(_SPACE)
+    return [*out, last] if last else out
+
+
+def _structural(text: str | None, size: int, overlap: int) -> list[str] | None:
+    if text is None:
+        return None
+    if len(text) < size:
+        return [text]
+    blocks = [b for b in (x.strip(_SPACE) for x in _BLANK_LINES.split(text)) if b]
+    return _fold(blocks, "\n", size, overlap, lambda part: _fold(_AFTER_SENTENCE.split(part), " ", size, overlap))
 
 
-def _fold(parts: Column, joint: str, size: int, overlap: int, large=None) -> Column:
-    """Join parts up to ``size``; a chunk that is put out leaves its tail as the start of the next. The state has the
-    chunk that grows, its length, and what is put out."""
-    state = lambda now, n, out: F.struct(now.alias("now"), n.alias("n"), out.alias("out"))
-    glue, nothing = F.lit(joint), F.array().cast("array<string>")
-
-    def merge(s: Column, part: Column) -> Column:
-        joined = state(F.concat(s["now"], glue, part), s["n"] + len(joint) + F.length(part), s["out"])
-        rest = F.concat(overlap_tail(s["now"], overlap), glue, part)
-        put = bound(rest, lambda now: state(now, F.length(now), F.array_append(s["out"], strip(s["now"]))))
-        step = F.when(s["n"] + F.length(part) <= size, joined).otherwise(put)
-        if large is None:
-            return step
-        # a part over the size is put out at once, before what is waiting
-        return F.when(F.length(part) > size, state(s["now"], s["n"], F.concat(s["out"], large(part)))).otherwise(step)
-
-    def merge_some(s: Column, some: Column) -> Column:
-        inner = F.aggregate(some, state(s["now"], s["n"], nothing), merge)
-        return bound(inner, lambda r: state(r["now"], r["n"], F.concat(s["out"], r["out"])))
-
-    def finish(s: Column) -> Column:
-        return bound(strip(s["now"]), lambda now: F.when(now == "", s["out"]).otherwise(F.array_append(s["out"], now)))
-
-    def whole(p: Column) -> Column:
-        last = F.greatest(F.lit(0), F.ceil(F.size(p) / STEPS).cast("int") - 1)
-        some = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(p, i * STEPS + 1, F.lit(STEPS)))
-        return F.aggregate(some, state(F.lit(""), F.lit(0), nothing), merge_some, finish)
-
-    return bound(parts, whole)
-
-
-def blocks(text: Column) -> Column:
-    """Paragraphs between blank lines, stripped, without empty ones."""
-    return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), strip), lambda b: b != "")
+def structural_chunks(text: Column, size: int = 1500, overlap: int = 400) -> Column:
+    """Texts shorter than ``size`` are one chunk; others are cut into paragraphs (between blank lines), over-long paragraphs
+    into sentences, and joined again up to ``size``. A sentence is never cut."""
+    steps = STEPS
 
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at in range(0, len(texts), steps):
+                yield pd.Series([_structural(x, size, overlap) for x in texts.iloc[at : at + steps]], dtype=object)
 
-def structural_chunks(text: Column, size: int = 1500, overlap: int = 400) -> Column:
-    """Texts shorter than ``size`` are one chunk; others are cut into paragraphs, over-long paragraphs into
-    sentences, and joined again up to ``size``. A sentence is never cut."""
-    split = lambda part: _fold(sentences(part), " ", size, overlap)
-    return F.when(F.length(text) < size, F.array(text)).otherwise(_fold(blocks(text), "\n", size, overlap, split))
+    return run(text)
 
 
 def section(chunk: Column, domain: str) -> Column:

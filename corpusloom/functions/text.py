@@ -19,20 +19,11 @@ def strip(text: Column) -> Column:
     return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
-def sentences(text: Column) -> Column:
-    return F.split(text, r"(?U)(?<=[.!?])\s+")
-
-
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: inside lambdas, expressions that repeat are otherwise repeated."""
     return F.transform(F.array(value), use)[0]
 
 
-def overlap_tail(text: Column, size: int) -> Column:
-    """The last two sentences, or the last ``size`` characters where there are at most two."""
-    return bound(sentences(strip(text)), lambda s: F.when(F.size(s) <= 2, F.right(text, F.lit(size))).otherwise(F.concat_ws(" ", F.slice(s, -2, 2))))
-
-
 def label(key: Column) -> Column:
     """Underscores to spaces, each run of letters capitalised."""
     runs = F.regexp_extract_all(F.replace(key, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))

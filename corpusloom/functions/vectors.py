@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -38,9 +37,67 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
-#: md5 numbers of words of up to LONGEST characters, for all batches of a worker: never more than REMEMBERED.
-_numbers: dict[str, int] = {}
-REMEMBERED, LONGEST = 1 << 15, 64
+REMEMBERED, LONGEST = 1 << 15, 55
+#: Texts whose new words are hashed together.
+TOGETHER = 256
+# of md5: its start, shifts and sines
+_START = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+_SHIFTS = np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], np.uint32)
+_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint32)
+
+
+def md5_numbers(coded: list[bytes]) -> np.ndarray:
+    """The first 4 bytes of the md5 of each of ``coded``, none longer than LONGEST, as a number: all at once, which takes a
+    third of the time of one call for each."""
+    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+    block = np.array(coded, "S64").view(np.uint8).reshape(-1, 64)
+    block[np.arange(len(coded)), lengths] = 128
+    m = np.ascontiguousarray(block.view("<u4").T, np.uint32)
+    m[14] = 8 * lengths
+    a, b, c, d = (np.full(len(coded), x) for x in _START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f, s = f + a + _SINES[i] + m[g], _SHIFTS[i // 16, i % 4]
+        a, d, c, b = d, c, b, b + (f << s | f >> np.uint32(32) - s)
+    return (a + _START[0]).byteswap()
+
+
+class _Numbers(dict):
+    """md5 numbers of words of up to LONGEST bytes, never more than REMEMBERED; those of others are made when asked for."""
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            # what is in use stays
+            used = {w: self[w] for w in words.difference(new)}
+            self.clear()
+            self.update(used)
+            new = list(new)[: REMEMBERED - len(used)]
+        short = {w: c for w in new if len(c := w.encode()) <= LONGEST}
+        if short:
+            self.update(zip(short, md5_numbers(list(short.values())).tolist()))
+
+    def __missing__(self, word: str) -> int:
+        return int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
+
+
+#: For all batches of a worker.
+_numbers = _Numbers()
+
+
+def words(text: str) -> list[str]:
+    """What lies between white space and punctuation in the lower-cased text."""
+    text = text.lower()
+    for mark in ".,;:!?|":
+        text = text.replace(mark, " ")
+    return text.split()
 
 
 class HashedEmbedder:
@@ -51,19 +108,13 @@ class HashedEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            numbers = []
-            for word in re.findall(r"[^\s.,;:!?|]+", (text or "").lower()):
-                n = _numbers.get(word)
-                if n is None:
-                    n = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
-                    if len(word) <= LONGEST:
-                        if len(_numbers) >= REMEMBERED:
-                            _numbers.clear()
-                        _numbers[word] = n
-                numbers.append(n % self.dim)
-            if numbers:
-                out[i] = np.bincount(numbers, minlength=self.dim)
+        for at in range(0, len(texts), TOGETHER):
+            found = [words(text or "") for text in texts[at : at + TOGETHER]]
+            _numbers.learn(set().union(*found))
+            for i, some in enumerate(found, at):
+                if some:
+                    numbers = np.fromiter(map(_numbers.__getitem__, some), np.int64, len(some))
+                    out[i] = np.bincount(numbers % self.dim, minlength=self.dim)
         length = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(length == 0, 1, length)
 

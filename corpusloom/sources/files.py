@@ -63,11 +63,10 @@ def name(path: Column) -> Column:
 
 
 def load_markup(files: DataFrame, ns_aware: bool = False) -> DataFrame:
-    """XML and JSON files flattened; a file that can't be read has an error and no text."""
-    text = F.decode("content", "UTF-8")
-    flat = F.when(F.col("kind") == "json", markup.flatten_json(F.when(F.col("kind") == "json", text))).otherwise(markup.flatten_xml(F.when(F.col("kind") == "xml", text), ns_aware))
-    flattened = files.where("kind in ('xml', 'json')").withColumn("f", flat)
-    return _loaded(flattened, F.col("f.content"), F.col("f.metadata"), F.col("f.error"))
+    """XML and JSON files flattened; a file that can't be read has an error and no text, so has one of another kind."""
+    text = F.when(F.col("kind").isin("xml", "json"), F.decode("content", "UTF-8"))
+    flattened = files.withColumn("f", markup.flatten(F.col("kind"), text, ns_aware))
+    return _loaded(flattened, F.col("f.content"), F.col("f.metadata"), F.when(F.col("kind") == "pdf", "no PDF parser is given").otherwise(F.col("f.error")))
 
 
 def _loaded(files: DataFrame, text: Column, metadata: Column, error: Column) -> DataFrame:
@@ -103,8 +102,7 @@ def load_pdf(files: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def load(files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """All files; PDF files need a (stored) block table, else they are errors."""
-    out = load_markup(files)
     if blocks is not None:
-        return out.unionByName(load_pdf(files, blocks))
-    none = F.lit(None)
-    return out.unionByName(_loaded(files.where("kind = 'pdf'"), none.cast("string"), none.cast("map<string,string>"), F.lit("no PDF parser is given")))
+        return load_markup(files.where("kind <> 'pdf'")).unionByName(load_pdf(files, blocks))
+    # a part of its own would read all files once more, as their kind doesn't reach the scan
+    return load_markup(files)

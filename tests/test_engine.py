@@ -4,6 +4,7 @@ import pytest
 
 from corpusloom.plans.engine import Engine
 from corpusloom.plans.index import collections
+from corpusloom.sources import files
 from corpusloom.streaming.ingest import ingest_stream
 
 
@@ -94,3 +95,17 @@ def test_command_line(spark, corpus, capsys):
     cli.main(["--corpus", corpus, "--reset", "bridge number 2"])
     out = capsys.readouterr().out
     assert "bad.json" in out and "N/A" in out and "bridge number 2" in out
+
+
+def test_files_are_read_and_parsed_in_one_pass(spark, tmp_path):
+    for name, content in (("a.json", '{"a": "some text"}'), ("b.xml", "<r><t>more</t></r>"), ("c.pdf", "%PDF"), ("d.json", "[1]")):
+        (tmp_path / name).write_text(content)
+    loaded = files.load(files.scan(spark, str(tmp_path)))
+    plan = loaded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") == 1 and plan.count("ArrowEvalPython") == 1
+    found = {r.source_file: (r.source_type, r.raw_text, r.metadata, r.error) for r in loaded.collect()}
+    own = lambda name, kind: {"source_file": name, "source_type": kind}
+    assert found["a.json"] == ("json", "A: some text", {"a_short": "some text"} | own("a.json", "json"), None)
+    assert found["b.xml"] == ("xml", "[t]: more", own("b.xml", "xml"), None)
+    assert found["c.pdf"] == ("pdf", None, own("c.pdf", "pdf"), "no PDF parser is given")
+    assert found["d.json"][1] is None and "not an object" in found["d.json"][3]

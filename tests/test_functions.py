@@ -1,4 +1,5 @@
 import hashlib
+import re
 from datetime import datetime
 
 import numpy as np
@@ -131,3 +132,22 @@ def test_hashed_embedder_remembers_few_words():
     assert len(vectors._numbers) <= vectors.REMEMBERED and max(map(len, vectors._numbers)) <= 64
     counts = np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8 for w in words], minlength=8)
     assert np.allclose(got[0], counts / np.sqrt((counts * counts).sum())) and not got[2].any()
+
+
+def test_words_hashed_together_have_their_md5():
+    words = [b"", b"a", b"a\0", "mot\u00e9".encode(), b"x" * 55] + [b"w%d" % i for i in range(500)]
+    assert vectors.md5_numbers(words).tolist() == [int(hashlib.md5(w).hexdigest()[:8], 16) for w in words]
+    texts = ["One, two!  TWO|three\u2003four\x1cfive \u0130", "y" * 56 + " z"]
+    counts = [np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8 for w in re.findall(r"[^\s.,;:!?|]+", t.lower())], minlength=8) for t in texts]
+    assert np.allclose(HashedEmbedder(8).embed(texts), [c / np.sqrt((c * c).sum()) for c in counts])
+
+
+def test_chunks_part_at_unicode_white_space_alone(spark):
+    source = "one two three.\u2003four five six.\x1cseven eight.\u00a0nine ten."
+    expected = ["one two three.", "one two three. four five six.\x1cseven eight.", "ve six.\x1cseven eight. nine ten."]
+    assert values(spark, [source, None], chunking.structural_chunks(F.col("x"), 20, 20)) == [expected, None]
+
+
+def test_chunks_are_cut_in_one_pass_of_a_worker(spark):
+    plan = spark.createDataFrame([(1, "a")], "document_id int, text string").transform(lambda d: chunks.indexed(d, "document_id"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
